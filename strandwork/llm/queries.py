@@ -6,27 +6,77 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, simhash
+from . import bpe, decontaminate, language_id, secret_scan, simhash
+
+#: The vocabulary that the queries use; operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenized(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", found.start_word.cast("bigint").alias("start_word"), found.n_words.cast("bigint").alias("n_words"), "similarity")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op5_bpe,
         op7_simhash_near_dedup,
+        op8_decontamination,
+        op9_language_id,
         op10_secret_scan,
+        pipeline,
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: Windows in line with every shared shingle, compared by occurrences; fingerprints only pass windows over.
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS bw FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (SELECT doc_id, w, unnest(range(len(w) - 4)) AS pos FROM d WHERE len(w) >= 5),
+bs AS (SELECT item_id, bw, len(bw) AS n, unnest(range(len(bw) - 4)) AS k FROM b WHERE len(bw) >= 5),
+p AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - k, len(w) - n)) AS st, w, bw FROM ds JOIN bs ON array_to_string(w[pos + 1 : pos + 5], ' ') = array_to_string(bw[k + 1 : k + 5], ' ')),
+win AS (SELECT doc_id, item_id, n, st, w[st + 1 : st + n] AS ww, bw FROM p),
+wi AS (SELECT *, unnest(range(len(ww) - 4)) AS i FROM win),
+a AS (SELECT doc_id, item_id, n, st, array_to_string(ww[i + 1 : i + 5], ' ') AS s, count(*) AS c FROM wi GROUP BY ALL),
+bc AS (SELECT item_id, array_to_string(bw[k + 1 : k + 5], ' ') AS s, count(*) AS c FROM bs GROUP BY ALL),
+lo AS (SELECT a.doc_id, a.item_id, a.n, a.st, sum(least(a.c, bc.c)) AS lo FROM a JOIN bc ON a.item_id = bc.item_id AND a.s = bc.s GROUP BY ALL),
+ta AS (SELECT doc_id, item_id, n, st, sum(c) AS t FROM a GROUP BY ALL),
+r AS (SELECT lo.doc_id, lo.item_id, lo.n, lo.st, lo.lo::DOUBLE / (ta.t + (lo.n - 4) - lo.lo)::DOUBLE AS similarity FROM lo JOIN ta USING (doc_id, item_id, n, st)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS rn FROM r WHERE similarity >= 0.8)
+SELECT doc_id, item_id, st::BIGINT AS start_word, n::BIGINT AS n_words, similarity FROM k WHERE rn = 1
+"""
+
+ORACLE: dict[str, str] = {"op8_decontamination": DECONTAMINATION_SQL}

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, staged
@@ -184,14 +184,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _lists(it, radius), "a bigint, b bigint")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) with fp as a signed bigint, for every row."""
-
+def _fingerprint_column(text: str) -> Column:
     @F.pandas_udf("bigint")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text).cast("string")).alias("fp"))
+    return simhash(F.col(text).cast("string"))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp) with fp as a signed bigint, for every row."""
+    return docs.select(F.col(doc_id).alias("doc_id"), _fingerprint_column(text).alias("fp"))
+
+
+def _labels(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, label) of the distinct fingerprints in column fp; label is the smallest fingerprint of the component."""
+    parts = connected_components(near_links(fps, radius))
+    return fps.join(parts, fps.fp == parts.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -203,8 +212,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     own = staged(fingerprints(docs, text, doc_id), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(near_links(distinct.select("fp"), radius))
-    labels = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    labels = distinct.join(_labels(distinct.select("fp"), radius), "fp")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labels.join(least, "label").select(F.col("fp").alias("of"), "component_id")
     return own.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the one of smallest doc_id (rows without one come last), then row hash.
+
+    All columns stay. Rows that agree in everything count as one.
+    """
+    mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), mark.alias("mark")).alias("place")
+    own = staged(docs.select(place, _fingerprint_column(text).alias("fp")), "fingerprints")
+    distinct = own.groupBy("fp").agg(F.min("place").alias("place"))
+    best = distinct.join(_labels(distinct.select("fp"), radius), "fp").groupBy("label").agg(F.min("place").alias("place"))
+    best = staged(best.select(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")), "survivors")
+    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
+    again = own.join(best, F.col("place.id").eqNullSafe(F.col("__id")) & (F.col("place.mark") == F.col("__mark")), "left_semi").count()
+    return kept.dropDuplicates() if again > best.count() else kept
