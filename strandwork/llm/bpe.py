@@ -123,13 +123,13 @@ def _split(v: Vocabulary, text: str) -> list[str]:
     return [w for part in v.splitter(text) if part for w in ([part] if part in v.specials else v.words(part))]
 
 
-def _learn(v: Vocabulary, words: set[str]) -> dict[str, tuple[int, bytes, bytes, np.ndarray]]:
-    """(count, decimal ids, decoded bytes, ids) of each word that the table lacks; short words go into the table."""
+def _learn(v: Vocabulary, words: set[str]) -> dict[str, tuple[int, bytes, bytes, bytes]]:
+    """(count, decimal ids, decoded bytes, ids in four bytes each) of each word that the table lacks; short words go into the table."""
     new = [w for w in words if w not in v.table]
     plain = [w for w in new if w not in v.specials]
     found = dict(zip(plain, merge_words(v, [w.encode("utf-8", "surrogatepass") for w in plain]), strict=True))
     found |= {w: np.array([v.specials[w]]) for w in new if w in v.specials}
-    rows = {w: (len(i), ",".join(map(str, i.tolist())).encode(), b"".join([v.pieces[x] for x in i.tolist()]), i.astype(np.int32)) for w, i in found.items()}
+    rows = {w: (len(i), ",".join(map(str, i.tolist())).encode(), b"".join([v.pieces[x] for x in i.tolist()]), i.astype("<i4").tobytes()) for w, i in found.items()}
     if len(v.table) + len(rows) > KEPT:
         rows |= {w: v.table[w] for w in words if w in v.table}
         v.table.clear()
@@ -137,7 +137,7 @@ def _learn(v: Vocabulary, words: set[str]) -> dict[str, tuple[int, bytes, bytes,
     return rows
 
 
-def encode_texts(v: Vocabulary, texts: list[str | None]) -> Iterator[list[tuple[int, bytes, bytes, np.ndarray]]]:
+def encode_texts(v: Vocabulary, texts: list[str | None]) -> Iterator[list[tuple[int, bytes, bytes, bytes]]]:
     """For each text the entries (count, decimal ids, decoded bytes, ids) of its words."""
     v.ready()
     split = [_split(v, t) if t else [] for t in texts]
@@ -177,7 +177,7 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, .
                     whole = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
                     text_hash.append(hashlib.sha256(whole.encode()).hexdigest())
                     if ids:
-                        lists.append(np.concatenate([e[3] for e in entries]) if entries else np.empty(0, np.int32))
+                        lists.append(np.frombuffer(b"".join([e[3] for e in entries]), "<i4"))
                 columns = [c.slice(at, end - at) for c in batch.columns[1:]] + [pa.array(n, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if ids:
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, secret_scan, simhash
+from . import ann_forest, bpe, chat_format, decontaminate, language_id, secret_scan, simhash, substring_dedup, suffix_dedup, token_output
+from .common import shared_path
 
 #: The vocabulary that the queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,10 +24,39 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _span_text(name: str = "spans"):
+    return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", _span_text())
+
+
+def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", _span_text())
+
+
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_format.perspectives(_table(spark, sf_dir, "conversations"))
+    return found.withColumn("mask", chat_format.mask_text(F.col("mask")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "shards")
+    return token_output.materialised(_table(spark, sf_dir, "documents"), out, vocabulary_path(), end=50256)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +83,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
+        op2_hash_prefix_forest,
+        op3_suffix_dedup,
+        op4_chat_perspectives,
         op5_bpe,
+        op6_training_order,
         op7_simhash_near_dedup,
         op8_decontamination,
         op9_language_id,
@@ -79,4 +115,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similar
 SELECT doc_id, item_id, st::BIGINT AS start_word, n::BIGINT AS n_words, similarity FROM k WHERE rn = 1
 """
 
-ORACLE: dict[str, str] = {"op8_decontamination": DECONTAMINATION_SQL}
+PERSPECTIVE_SQL = r"""
+WITH own AS (SELECT DISTINCT conv_id, floor(turn / 64)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+sp AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM own WHERE role <> 'system'),
+seg AS (SELECT conv_id, speaker, part, turn, role, text, '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' AS body, role = speaker AS own FROM own JOIN sp ON conv_id IS NOT DISTINCT FROM c),
+pos AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM seg)
+SELECT conv_id, speaker, part, count(*) AS n_messages, string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS rendered,
+coalesce(string_agg((o + length(head))::VARCHAR || ':' || (o + length(head) + length(body))::VARCHAR, ',' ORDER BY turn, role, text) FILTER (own), '') AS mask
+FROM pos GROUP BY conv_id, speaker, part
+"""
+
+ORACLE: dict[str, str] = {"op4_chat_perspectives": PERSPECTIVE_SQL, "op8_decontamination": DECONTAMINATION_SQL}
