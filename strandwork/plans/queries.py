@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import generators as G
 from ..functions.fixedpoint import big, clamp24
-from ..operators import control, generated, render, samples, signalling
+from ..operators import control, generated, kernels, messages, render, samples, signalling
 from ..sources.synthetic import OPENING_BITS, event_frames, plant_bits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,3 +397,51 @@ def pair_ring_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = samples.pair_ring(event_frames(spark, sf_dir), 40000)
     return ring.select("file_id", "frame", F.col("ring")[0]["l"].alias("oldest"), F.col("ring")[12]["r"].alias("third"), F.col("ring")[15]["l"].alias("newest"))
 
+
+
+# --- recurrences: one ordered pass a file -----------------------------------------------------------------------------
+
+
+def _reconstruct(spark: SparkSession, sf_dir: str, long: bool) -> DataFrame:
+    frames = event_frames(spark, sf_dir).withColumns({c: F.shiftright(c, 4) for c in "lr"})
+    residuals = frames.select("file_id", "frame", (F.col("l") % 900).alias("p"), (F.col("r") % 700).alias("q"))
+    return kernels.reconstructed(frames, residuals, generated.output_dither(frames, 1234567, 203), long=long)
+
+
+@query()
+def reconstruct_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconstruct(spark, sf_dir, False)
+
+
+@query()
+def reconstruct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconstruct(spark, sf_dir, True)
+
+
+@query()
+def symbol_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.decoded_symbols(generated.channel_bytes(event_frames(spark, sf_dir)), 64)
+
+
+@query()
+def channel_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a channel that carries one record, the event names as symbol payloads, and a sync, for each file."""
+
+    def write(frame):
+        import pandas as pd
+
+        w = messages.MessageWriter()
+        w.record(25)
+        for name in frame.sort_values("event_id")["event_type"]:
+            w.message(5, name.encode())
+        w.sync(2, 25, len(w.data))
+        file_id = int(frame["file_id"].iat[0])
+        return pd.DataFrame({"file_id": file_id, "offset": range(len(w.data)), "byte": list(w.wire())})
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 8).alias("file_id"), "event_id", "event_type")
+    wire = events.groupBy("file_id").applyInPandas(write, "file_id bigint, offset bigint, byte bigint")
+    return messages.histogram(messages.messages(generated.descramble(wire)))
+
+
+ORACLE["channel_messages"] = """SELECT user_id % 8 AS file_id, 5::INT AS type, count(*) AS n, sum(length(event_type))::BIGINT AS bytes FROM events GROUP BY user_id % 8
+UNION ALL SELECT DISTINCT user_id % 8, 4, 1, 40 FROM events UNION ALL SELECT DISTINCT user_id % 8, 3, 1, 0 FROM events"""
