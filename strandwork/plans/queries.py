@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import generators as G
 from ..functions.fixedpoint import big, clamp24
-from ..operators import control, generated, kernels, messages, render, samples, signalling
+from ..operators import control, decode, encode, generated, kernels, messages, render, samples, signalling
 from ..sources.synthetic import OPENING_BITS, event_frames, plant_bits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -445,3 +445,37 @@ def channel_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["channel_messages"] = """SELECT user_id % 8 AS file_id, 5::INT AS type, count(*) AS n, sum(length(event_type))::BIGINT AS bytes FROM events GROUP BY user_id % 8
 UNION ALL SELECT DISTINCT user_id % 8, 4, 1, 40 FROM events UNION ALL SELECT DISTINCT user_id % 8, 3, 1, 0 FROM events"""
+
+
+def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two tones each, as long as the event files."""
+    frames = event_frames(spark, sf_dir)
+    t = F.col("frame").cast("double")
+    left = F.sin(t * (0.011 + F.col("file_id") * 0.001)) * 3000000 + F.sin(t * 0.37) * 2000000
+    right = F.sin(t * 0.013 + 1) * 3500000 + F.sin(t * 0.31) * 1500000
+    return frames.select("file_id", "frame", F.floor(left).cast("bigint").alias("l"), F.floor(right).cast("bigint").alias("r"))
+
+
+@query()
+def encode_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(_tones(spark, sf_dir))
+
+
+@query()
+def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.decode(encode.encode(_tones(spark, sf_dir)))
+
+
+@query()
+def decode_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _tones(spark, sf_dir)
+    return encode.verify(source, decode.decode(encode.encode(source)))
+
+
+@query()
+def wrap_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of streams that wrapping the event frames makes."""
+    return control.scan(encode.wrap(event_frames(spark, sf_dir, 4)), None)
+
+
+ORACLE["wrap_carrier"] = "SELECT DISTINCT user_id % 4 AS file_id, true AS found, 0::BIGINT AS sync_frame, 8::BIGINT AS k, 9::BIGINT AS orig_rate, 8::BIGINT AS src_rate, 0::BIGINT AS auth_level, false AS studio FROM events"
