@@ -1,17 +1,21 @@
 """Byte-level BPE: batched numpy merge rounds, and the decoding that turns ids into text again.
 
-The symbols of many words lie in one flat array. Each round looks all neighbouring pairs up by binary search over the
-sorted pair keys, takes the lowest rank of every word, and merges all its places at once (of overlapping places, as in
-a run of one letter, every second). A merge only makes pairs of higher rank, so this equals merging one pair at a time.
-Words that have no pair left leave the array. Words recur, so the pieces of short words are kept in a bounded table.
+A block of texts is split into words, and each different word is merged once. The symbols of all of them lie in one
+flat array. Neighbouring pairs are looked up by binary search over the sorted pair keys; each round takes the lowest
+rank of every word and merges all its places at once (of overlapping places, as in a run of one letter, every second).
+A merge only makes pairs of higher rank, so this equals merging one pair at a time. Only pairs beside a merge are looked
+up again, and words that have no pair left leave the array.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that splits text before the merges, as published with the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept for each worker, and the longest that are.
-KEPT, KEPT_CHARS = 300_000, 40
+#: Characters of text that are encoded at a time.
+BLOCK = 8 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,7 +38,7 @@ def byte_letters() -> dict[int, str]:
 
 @dataclass
 class Vocabulary:
-    """Arrays of one vocabulary: sorted pair keys with ranks and merged ids, the ids of bytes, the bytes of ids."""
+    """Arrays of one vocabulary: sorted pair keys with their ranks, merged ids by rank, ids of bytes, bytes of ids."""
 
     keys: np.ndarray
     ranks: np.ndarray
@@ -42,13 +46,23 @@ class Vocabulary:
     of_byte: np.ndarray
     pieces: list[bytes]
     specials: dict[str, int]
-    table: dict = field(default_factory=dict)
     splitter: object = None
     words: object = None
+    loose: object = None
+
+    of_bytes: object = None
+
+    def byte_ranks(self, ranks) -> np.ndarray:
+        """The ranks of all pairs of bytes."""
+        if self.of_bytes is None:
+            first, second = np.divmod(np.arange(1 << 16), 256)
+            self.of_bytes = ranks(self.of_byte[first], self.of_byte[second])
+        return self.of_bytes
 
     def ready(self) -> None:
         if self.words is None:
             self.words = regex.compile(PATTERN).findall
+            self.loose = re.compile(r" (?=\s|$)").search
             longest = sorted(self.specials, key=len, reverse=True)
             self.splitter = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else None
 
@@ -70,45 +84,55 @@ def load_vocabulary(path: str) -> Vocabulary:
     pieces = [b""] * (max([*vocab.values(), *added.values()]) + 1)
     for token, i in (vocab | added).items():
         pieces[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-    return Vocabulary(keys[order], order.astype(np.int64), merged[order], np.array([vocab[letters[b]] for b in range(256)]), pieces, added)
+    return Vocabulary(keys[order], order.astype(np.int32), merged, np.array([vocab[letters[b]] for b in range(256)]), pieces, added)
+
+
+def merge_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and where each word's begin (and the last one's end)."""
+    none = np.int32(len(v.keys))
 
+    def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(v.keys, key), none - 1)
+        return np.where(v.keys[at] == key, v.ranks[at], none)
 
-def merge_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """The ids of each word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ids = v.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ids = v.of_byte[data]
     owner = np.repeat(np.arange(len(words)), lengths)
+    rank = np.full(len(ids), none)
+    inner = np.nonzero(owner[:-1] == owner[1:])[0]
+    rank[inner] = v.byte_ranks(ranks)[data[inner].astype(np.int64) << 8 | data[inner + 1]]  # of the pair that a symbol forms with the next one of its word
     done_ids, done_owner = [], []
-    none = len(v.keys)
     while len(ids):
-        key = ids[:-1] << 32 | ids[1:]
-        at = np.minimum(np.searchsorted(v.keys, key), none - 1)
-        known = (v.keys[at] == key) & (owner[:-1] == owner[1:])
-        rank = np.append(np.where(known, v.ranks[at], none), none)
         starts = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1])
-        sizes = np.diff(np.append(starts, len(ids)))
-        least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+        least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
         over = least == none
+        places = np.nonzero((rank == least) & ~over)[0]
+        first = np.concatenate([[True], np.diff(places) != 1])[: len(places)]
+        run_start = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+        places = places[(np.arange(len(places)) - run_start) % 2 == 0]
         if over.any():
             done_ids.append(ids[over])
             done_owner.append(owner[over])
-        hit = (rank == least) & ~over
-        places = np.nonzero(hit)[0]
-        if not len(places):
-            break
-        first = np.concatenate([[True], np.diff(places) != 1])
-        run_start = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - run_start) % 2 == 0]
-        ids[places] = v.merged[at[places]]
+        ids[places] = v.merged[rank[places]]
+        rank[places] = none
         keep = ~over
         keep[places + 1] = False
-        ids, owner = ids[keep], owner[keep]
-    if not words:
-        return []
+        after = np.cumsum(keep) - 1
+        ids, owner, rank = ids[keep], owner[keep], rank[keep]
+        new = after[places]
+        beside = np.zeros(len(ids) + 1, bool)
+        beside[new] = beside[new - 1] = True
+        new = np.nonzero(beside[: max(len(ids) - 1, 0)])[0]
+        within = owner[new] == owner[new + 1]
+        rank[new[~within]] = none
+        new = new[within]
+        rank[new] = ranks(ids[new], ids[new + 1])
     ids = np.concatenate([*done_ids, np.empty(0, np.int64)])
     owner = np.concatenate([*done_owner, np.empty(0, np.int64)])
     order = np.argsort(owner, kind="stable")
-    return np.split(ids[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+    return ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
 def decode_bytes(v: Vocabulary, ids: Iterable[int]) -> str:
@@ -123,30 +147,63 @@ def _split(v: Vocabulary, text: str) -> list[str]:
     return [w for part in v.splitter(text) if part for w in ([part] if part in v.specials else v.words(part))]
 
 
-def _learn(v: Vocabulary, words: set[str]) -> dict[str, tuple[int, bytes, bytes, bytes]]:
-    """(count, decimal ids, decoded bytes, ids in four bytes each) of each word that the table lacks; short words go into the table."""
-    new = [w for w in words if w not in v.table]
-    plain = [w for w in new if w not in v.specials]
-    found = dict(zip(plain, merge_words(v, [w.encode("utf-8", "surrogatepass") for w in plain]), strict=True))
-    found |= {w: np.array([v.specials[w]]) for w in new if w in v.specials}
-    rows = {w: (len(i), ",".join(map(str, i.tolist())).encode(), b"".join([v.pieces[x] for x in i.tolist()]), i.astype("<i4").tobytes()) for w, i in found.items()}
-    if len(v.table) + len(rows) > KEPT:
-        rows |= {w: v.table[w] for w in words if w in v.table}
-        v.table.clear()
-    v.table.update((w, r) for w, r in rows.items() if len(w) <= KEPT_CHARS)
-    return rows
+def _gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[offsets[i] : offsets[i + 1]] of index one after another, and where each begins and the last ends."""
+    sizes = offsets[index + 1] - offsets[index]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(offsets[index] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+class Numbers(dict):
+    """Numbers its keys as they are first asked for."""
 
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
 
-def encode_texts(v: Vocabulary, texts: list[str | None]) -> Iterator[list[tuple[int, bytes, bytes, bytes]]]:
-    """For each text the entries (count, decimal ids, decoded bytes, ids) of its words."""
+
+def encode_block(v: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, and where each text's begin (and the last one's end).
+
+    A space before something that isn't white space always begins a word, so where no other space occurs a text falls
+    apart at its spaces, and each different piece is split by the pattern once. Other texts are split as a whole.
+    """
     v.ready()
-    split = [_split(v, t) if t else [] for t in texts]
-    rows = _learn(v, set().union(*split))
-    for words in split:
-        try:
-            yield [v.table[w] for w in words]
-        except KeyError:
-            yield [rows[w] if w in rows else v.table[w] for w in words]
+    spaced, exact = Numbers(), Numbers()
+    index = array("q")  # units of all texts: spaced pieces as they are numbered, exact words as ~number
+    counts = [0]
+    for t in texts:
+        if t and (v.loose(t) or v.splitter is not None and any(s in t for s in v.specials)):
+            index.extend([~exact[w] for w in _split(v, t)])
+        elif t:
+            first, *rest = t.split(" ")
+            index.extend([~exact[w] for w in v.words(first)])
+            index.extend(map(spaced.__getitem__, rest))
+        counts.append(len(index))
+    words = Numbers(exact)
+    inside = [[words[" " + p]] if p.isalpha() else [words[w] for w in v.words(" " + p)] for p in spaced]
+    plain = [b"" if w in v.specials else w.encode("utf-8", "surrogatepass") for w in words]
+    ids, begins = merge_words(v, plain)
+    if not v.specials.keys().isdisjoint(words):  # special tokens are one id each
+        parts = [np.array([v.specials[w]], np.int32) if w in v.specials else ids[begins[i] : begins[i + 1]] for i, w in enumerate(words)]
+        ids, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    members = np.array([*chain.from_iterable(inside), *range(len(exact))], np.int64)
+    sizes = [*map(len, inside), *repeat(1, len(exact))]
+    member_ids, member_ends = _gather(ids, begins, members)
+    unit_begins = member_ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+    units = np.frombuffer(index, np.int64)
+    flat, ends = _gather(member_ids, unit_begins, np.where(units < 0, len(spaced) + ~units, units))
+    return flat, ends[np.array(counts)]
+
+
+def blocks(texts: list[str | None], chars: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters."""
+    low, size = 0, 0
+    for high, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= chars or high == len(texts):
+            yield low, high
+            low, size = high, 0
 
 
 def tokenized(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
@@ -162,28 +219,22 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(**vocabulary.value)
-        v.table = {}
+        decimal = [str(i).encode() for i in range(len(v.pieces))].__getitem__
+        piece = v.pieces.__getitem__
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            at, size = 0, 0
-            for end in range(1, len(texts) + 1):
-                size += len(texts[end - 1] or "")
-                if size < 4 << 20 and end < len(texts):
-                    continue
-                n, id_hash, text_hash, lists = [], [], [], []
-                for entries in encode_texts(v, texts[at:end]):
-                    n.append(sum([e[0] for e in entries]))
-                    id_hash.append(hashlib.sha256(b",".join([e[1] for e in entries])).hexdigest())
-                    whole = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
+            for low, high in blocks(texts):
+                flat, ends = encode_block(v, texts[low:high])
+                id_hash, text_hash = [], []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own = flat[a:b].tolist()
+                    id_hash.append(hashlib.sha256(b",".join(map(decimal, own))).hexdigest())
+                    whole = b"".join(map(piece, own)).decode("utf-8", "replace")
                     text_hash.append(hashlib.sha256(whole.encode()).hexdigest())
-                    if ids:
-                        lists.append(np.frombuffer(b"".join([e[3] for e in entries]), "<i4"))
-                columns = [c.slice(at, end - at) for c in batch.columns[1:]] + [pa.array(n, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
+                columns = [c.slice(low, high - low) for c in batch.columns[1:]] + [pa.array(np.diff(ends), pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)]))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, kept + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
-                at, size = end, 0
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
