@@ -1,7 +1,7 @@
 """Token ids as fixed-stride binary shards in training order.
 
-Documents are encoded, closed with an end mark, and cut into sequences of `length` ids (the last one padded with the end
-mark). Sequences are numbered in corpus order, and a keyed Feistel network permutes the numbers: it is a bijection on
+Documents are encoded, closed with an end mark, and packed into sequences of `length` ids, one input partition after the
+other (the last sequence of a partition is padded with end marks). Sequences are numbered in corpus order, and a keyed Feistel network permutes the numbers: it is a bijection on
 the next power of four, and numbers that leave the range walk on along their cycle until they are back in it. So every
 sequence gets a slot of the training order by arithmetic alone, without a sort of the corpus or a list of it, and the
 same key always gives the same order. Slot s lies in shard s // per_shard at offset (s % per_shard) * stride. Each task
@@ -12,19 +12,22 @@ run again leaves the same file. Reading on from any slot takes one seek.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_path
+from .common import drop_path, shared_path
 
-LENGTH, PER_SHARD, ROUNDS = 512, 8192, 6
+LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -51,65 +54,89 @@ def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def encoded(docs: DataFrame, path: str, end: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, data): little-endian ids of every row with the end mark, two bytes each (four if ids need it)."""
+def packed(docs: DataFrame, path: str, end: int, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, first_token, n_tokens, n_docs, data): sequences of the rows of each input partition, one after another.
+
+    doc_id and first_token say where a sequence begins, n_docs how many documents it holds ids of. data holds ids in
+    little-endian order, two bytes each (four if ids need it); only the last sequence of a partition can be short.
+    """
     vocabulary = bpe.load_vocabulary(path)
-    wide = max(len(vocabulary.pieces), end + 1) > 1 << 16
+    width = _width(vocabulary, end)
     sent = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe.Vocabulary(**sent.value)
-        v.table = {}
-        kind = "<u4" if wide else "<u2"
-        close = np.array([end], kind).tobytes()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            at, size = 0, 0
-            for stop in range(1, len(texts) + 1):
-                size += len(texts[stop - 1] or "")
-                if size < 4 << 20 and stop < len(texts):
-                    continue
-                data = [np.frombuffer(b"".join([e[3] for e in entries]), "<i4").astype(kind).tobytes() + close for entries in bpe.encode_texts(v, texts[at:stop])]
-                n = [len(x) // len(close) for x in data]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, stop - at), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "data"])
-                at, size = stop, 0
+        close, stride = end.to_bytes(width, "little"), length * width
+        held, ids = bytearray(), None
+        begins: deque[tuple[int, object]] = deque()  # (first id of the partition's stream, document) of what held has
+        at = 0  # ids that have left held
+
+        def cut(flush: bool) -> pa.RecordBatch:
+            nonlocal at, held
+            rows = []
+            taken = 0
+            while len(held) - taken >= stride or flush and taken < len(held):
+                piece = bytes(held[taken : taken + stride])
+                n = len(piece) // width
+                while len(begins) > 1 and begins[1][0] <= at:
+                    begins.popleft()
+                docs_in = 1 + sum(1 for b, _ in islice(begins, 1, None) if b < at + n)
+                rows.append((begins[0][1], at - begins[0][0], n, docs_in, piece))
+                taken += len(piece)
+                at += n
+            held = held[taken:]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (ids, pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "first_token", "n_tokens", "n_docs", "data"])
 
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, data binary")
-
-
-def _sequences(table: DataFrame, length: int, per_shard: int, key: int, end: int, width: int) -> tuple[DataFrame, int]:
-    """(shard, slot, doc_id, first_token, n_tokens, data) of the encoded table, and how many there are."""
-    each = table.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.ceil(F.col("n_tokens") / length)).cast("bigint").alias("n"))
+        for batch in batches:
+            ids = batch.schema.field(1).type
+            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low, high in bpe.blocks(texts):
+                flat, ends = bpe.encode_block(v, texts[low:high])
+                data = flat.astype(f"<u{width}").tobytes()
+                for name, a, b in zip(names[low:high], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    begins.append((at + len(held) // width, name))
+                    held += data[a * width : b * width]
+                    held += close
+                    if len(held) > 64 * stride:
+                        yield cut(False)
+        if held:
+            yield cut(True)
+
+    schema = f"doc_id {kind}, first_token bigint, n_tokens int, n_docs int, data binary"
+    return docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id")).mapInArrow(run, schema)
+
+
+def _width(vocabulary: bpe.Vocabulary, end: int) -> int:
+    return 4 if max(len(vocabulary.pieces), end + 1) > 1 << 16 else 2
+
+
+def _numbered(table: DataFrame, per_shard: int, key: int) -> tuple[DataFrame, int]:
+    """The table's rows with their shard and slot, data compressed for the way, and how many there are."""
+    each = table.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r.p: r.n for r in each.collect()}  # a row for each input partition
     total = sum(counts.values())
     before, at = {}, 0
     for p in sorted(counts):
         before[p], at = at, at + counts[p]
     sent = table.sparkSession.sparkContext.broadcast(before)
-    stride = length * width
-    pad = end.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = sent.value.get(TaskContext.get().partitionId(), 0)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            rows, firsts, sizes, pieces = [], [], [], []
-            for row, (n, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for first in range(0, n, length):
-                    rows.append(row)
-                    firsts.append(first)
-                    sizes.append(min(length, n - first))
-                    piece = data[first * width : first * width + stride]
-                    pieces.append(piece + pad * (length - sizes[-1]))
-            slot = slots(np.arange(number, number + len(rows)), total, key)
-            number += len(rows)
-            for lo in range(0, len(rows), 4096):
-                hi = lo + 4096
-                columns = [pa.array((slot[lo:hi] // per_shard).astype(np.int32)), pa.array(slot[lo:hi]), batch.column(0).take(pa.array(rows[lo:hi], pa.int64())), pa.array(firsts[lo:hi], pa.int64()), pa.array(sizes[lo:hi], pa.int32()), pa.array(pieces[lo:hi], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "doc_id", "first_token", "n_tokens", "data"])
+            for low in range(0, len(batch), 4096):
+                part = batch.slice(low, 4096)
+                slot = slots(np.arange(number, number + len(part)), total, key)
+                number += len(part)
+                data = pa.array([squeeze(x.as_buffer()) for x in part.column("data")], pa.binary())
+                columns = [pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), *[part.column(c) for c in ("doc_id", "first_token", "n_tokens", "n_docs")], data]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "doc_id", "first_token", "n_tokens", "n_docs", "data"])
 
     kind = table.schema["doc_id"].dataType.simpleString()
-    return table.mapInArrow(run, f"shard int, slot bigint, doc_id {kind}, first_token bigint, n_tokens int, data binary"), total
+    return table.mapInArrow(run, f"shard int, slot bigint, doc_id {kind}, first_token bigint, n_tokens int, n_docs int, data binary"), total
 
 
 def shard_name(shard: int) -> str:
@@ -119,22 +146,25 @@ def shard_name(shard: int) -> str:
 def materialised(docs: DataFrame, out: str, path: str, end: int, key: int = 2024, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write the shards of docs to the folder `out` (a URI that driver and executors share) and return their manifest.
 
-    The manifest has a row for each sequence: (slot, shard, offset, doc_id, first_token, n_tokens). It is lazy in no
-    way: shards are written when this returns. A null text counts as empty and gives one sequence that holds the end
-    mark only; repeated rows are each written; an empty table writes no shard and gives an empty manifest. Only the
-    named columns are read.
+    The manifest has a row for each sequence: (slot, shard, offset, doc_id, first_token, n_tokens, n_docs), where the
+    sequence begins and what it holds. It is lazy in no way: shards are written when this returns. A null text counts
+    as empty and gives an end mark; repeated rows are each written; an empty table writes no shard and gives an empty
+    manifest. Only the named columns are read.
     """
     spark = docs.sparkSession
-    held = shared_path(spark, "encoded")
-    encoded(docs, path, end, text, doc_id).write.option("compression", "zstd").parquet(held)
-    table = spark.read.parquet(held)
-    width = 4 if max(len(bpe.load_vocabulary(path).pieces), end + 1) > 1 << 16 else 2
-    rows, total = _sequences(table, length, per_shard, key, end, width)
+    held = shared_path(spark, "sequences")
+    sequences = packed(docs, path, end, length, text, doc_id)
+    sequences.write.option("compression", "zstd").parquet(held)
+    table = spark.read.schema(sequences.schema).parquet(held)
+    width = _width(bpe.load_vocabulary(path), end)
+    rows, total = _numbered(table, per_shard, key)
+    stride, pad = length * width, end.to_bytes(width, "little")
     shards = max(1, -(-total // per_shard))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(out)
         stream, open_shard, name = None, -1, ""
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             if stream is not None:
@@ -150,19 +180,21 @@ def materialised(docs: DataFrame, out: str, path: str, end: int, key: int = 2024
                     open_shard = int(shard[lo])
                     name = f"{folder}/.{shard_name(open_shard)}.{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(name)
-                for piece in batch.column(5).slice(lo, hi - lo):
-                    stream.write(piece.as_buffer())
-            offset = (batch.column(1).to_numpy() % per_shard) * (length * width)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(offset), *batch.columns[2:5]], ["slot", "shard", "offset", "doc_id", "first_token", "n_tokens"])
+                for piece in batch.column(6).slice(lo, hi - lo):
+                    data = unpack(piece.as_buffer())
+                    stream.write(data + pad * ((stride - len(data)) // width))
+            offset = (batch.column(1).to_numpy() % per_shard) * stride
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(offset), *batch.columns[2:6]], ["slot", "shard", "offset", "doc_id", "first_token", "n_tokens", "n_docs"])
         close()
 
     pyarrow.fs.FileSystem.from_uri(out)[0].create_dir(pyarrow.fs.FileSystem.from_uri(out)[1], recursive=True)
     kind = table.schema["doc_id"].dataType.simpleString()
     dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    manifest = dealt.mapInArrow(write, f"slot bigint, shard int, offset bigint, doc_id {kind}, first_token bigint, n_tokens int")
+    manifest = dealt.mapInArrow(write, f"slot bigint, shard int, offset bigint, doc_id {kind}, first_token bigint, n_tokens int, n_docs int")
     listed = shared_path(spark, "manifest")
     manifest.write.parquet(listed)
-    return spark.read.parquet(listed)
+    drop_path(spark, held)
+    return spark.read.schema(manifest.schema).parquet(listed)
 
 
 def read_sequences(out: str, start: int, stop: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> Iterator[np.ndarray]:

@@ -19,21 +19,20 @@ def test_slots_are_a_permutation(total):
         assert (S.slots(np.arange(total), total, 8) != got).any() and (np.diff(got) != 1).mean() > 0.8
 
 
-def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
+def test_shards_hold_the_stream_of_each_partition(spark, tmp_path):
     rows = [(i, f"text {i} " * (i * 7 % 90), 0) for i in range(60)] + [(7, "again", 0), (7, "again", 0), (None, None, 0), (61, "", 0)]
-    docs = spark.createDataFrame(rows, DOCS)
+    docs = spark.createDataFrame(rows, DOCS).coalesce(2)
     out = f"file://{tmp_path}/shards"
     manifest = S.materialised(docs, out, PATH, 50256, length=16, per_shard=32).collect()
     total = len(manifest)
     assert sorted(r.slot for r in manifest) == list(range(total))
     read = list(S.read_sequences(out, 0, total, 16, 32))
-    want = Counter()
-    for doc_id, text, _ in rows:
-        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 50256]
-        for at in range(0, len(ids), 16):
-            want[doc_id, at, tuple(ids[at : at + 16])] += 1
-    got = Counter((r.doc_id, r.first_token, tuple(read[r.slot][: r.n_tokens].tolist())) for r in manifest)
-    assert got == want
+    streams = []
+    for part in docs.rdd.glom().collect():
+        stream = [(d.doc_id, n, x) for d in part for n, x in enumerate([*LIBRARY.encode(d.text or "", add_special_tokens=False).ids, 50256])]
+        streams += [stream[at : at + 16] for at in range(0, len(stream), 16)]
+    want = Counter((s[0][0], s[0][1], len(s), sum(n == 0 for _, n, _ in s[1:]) + 1, tuple(x for *_, x in s)) for s in streams)
+    assert want == Counter((r.doc_id, r.first_token, r.n_tokens, r.n_docs, tuple(read[r.slot][: r.n_tokens].tolist())) for r in manifest)
     assert all((read[r.slot][r.n_tokens :] == 50256).all() and r.offset == r.slot % 32 * 32 and r.shard == r.slot // 32 for r in manifest)
     assert [x.tolist() for x in S.read_sequences(out, 30, 70, 16, 32)] == [x.tolist() for x in read[30:70]]
     files = pyarrow.fs.LocalFileSystem().get_file_info(pyarrow.fs.FileSelector(f"{tmp_path}/shards"))
