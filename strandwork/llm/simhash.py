@@ -10,6 +10,7 @@ verified by their differing bits. A list gives out a spanning forest of its link
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,18 +29,21 @@ SHINGLE, SEED, RADIUS, SHARED = 4, 42, 4, 4
 DENSE = 2048
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text; null and wordless texts give 0."""
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; of the whole sequence if it is shorter."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(lengths) - 1
     k = min(words, len(found))
     hash64 = xxhash.xxh64_intdigest
     spans = zip((ends - lengths + 1)[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    values = np.array([hash64(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([hash64(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def _majority(values: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         block = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -47,6 +51,24 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one text; null and wordless texts give 0."""
+    return _majority(_hashes(text, words))
+
+
+def wide_fingerprint(text: str | None) -> list[int]:
+    """A fingerprint of 256 bits over three-word shingles, as four signed words."""
+    values = _hashes(text, 3)
+    out = []
+    for n in range(4):
+        # Multipliers of the splitmix64 finaliser.
+        x = values + np.uint64(0x9E3779B97F4A7C15 * (n + 1) & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ x >> np.uint64(31)))
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
 def position_triples() -> list[tuple[int, int, int]]:
     """Byte triples such that any four of the eight positions contain one: Turan's construction over three groups."""
     group = {p: p % 3 for p in range(8)}
@@ -218,17 +240,90 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return own.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one of smallest doc_id (rows without one come last), then row hash.
+def wide_triples(count: int = 128) -> list[tuple[int, int, int]]:
+    """Triples of the 32 positions of a wide fingerprint."""
+    picked = np.random.default_rng(29).permutation(len(every := list(combinations(range(32), 3))))[:count]
+    return [every[i] for i in sorted(picked.tolist())]
+
+
+def _similarity(a: str | None, b: str | None, words: int) -> float:
+    """Shared over all distinct word shingles of two texts."""
+    x, y = set(_hashes(a, words).tolist()), set(_hashes(b, words).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFrame:
+    """(a, b) labels of rows (label, wide) that post a triple together, share bytes and differ in at most `limit` bits.
+
+    At a similarity of 0.8 of five-word shingles some 30 of 256 bits differ and 12 of 32 bytes are shared; of pairs that
+    alike about one in a hundred shares no posted triple.
+    """
+
+    octets = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda p: F.call_function("shiftright", F.get("wide", F.floor(p / 8).cast("int")), (p % 8) * 8).bitwiseAND(255))
+    triples = F.from_json(F.lit(json.dumps(wide_triples())), "array<array<int>>")
+
+    def key(t: Column, i: Column) -> Column:
+        return i.cast("bigint") * (1 << 24) + F.get("octets", t[0]) + F.get("octets", t[1]) * 256 + F.get("octets", t[2]) * 65536
+
+    posted = reps.select("label", octets.alias("octets"), triples.alias("triples")).select(F.explode(F.transform("triples", key)).alias("key"), "label")
+    pairs = posted.withColumnRenamed("label", "a").join(posted.withColumnRenamed("label", "b"), "key").where("a < b").select("a", "b").distinct()
+    left, right = (reps.select(F.col("label").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    words = [F.col("wa")[n].bitwiseXOR(F.col("wb")[n]) for n in range(4)]
+    differ = sum((F.bit_count(w) for w in words), F.lit(0))
+    same = sum(((F.shiftright(w, 8 * k).bitwiseAND(255) == 0).cast("int") for w in words for k in range(8)), F.lit(0))
+    return both.where((differ <= limit) & (same >= shared)).select("a", "b")
+
+
+def _verified(docs: DataFrame, text: str, found: Column, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, place) whose texts share enough shingles; found says which row a place is."""
+    ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
+    asked = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
+    texts = staged(docs.join(asked, found).groupBy("node").agg(F.first(F.col(text).cast("string")).alias("t")), "texts")
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_similarity(x, y, words) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    left, right = (texts.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb") >= similarity).select("a", "b")
+
+
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (node, ...) with `label`, the smallest node of the component that the links make."""
+    parts = connected_components(links).select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return nodes.join(parts, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("__label", "node")).drop("__node", "__label")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: the one of smallest doc_id (rows without one come last).
 
-    All columns stay. Rows that agree in everything count as one.
+    Rows of one 64-bit fingerprint of `words`-word shingles are copies. Two rounds join more: first fingerprints within
+    four bits, by the index that loses no such pair; then the first row of each group so made against those of other
+    groups, by shared positional bytes of 256-bit fingerprints. In both, links are verified by the exact share of common
+    shingles, which has to be `similarity` or more. All columns stay; rows that agree in everything count as one; rows
+    without words are one group.
     """
     mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
     place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), mark.alias("mark")).alias("place")
-    own = staged(docs.select(place, _fingerprint_column(text).alias("fp")), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("place").alias("place"))
-    best = distinct.join(_labels(distinct.select("fp"), radius), "fp").groupBy("label").agg(F.min("place").alias("place"))
-    best = staged(best.select(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")), "survivors")
-    kept = docs.join(best, F.col(doc_id).eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
+    found = F.col(doc_id).eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
+
+    @F.pandas_udf("fp bigint, wide array<bigint>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fps, "wide": [wide_fingerprint(t) for t in texts]})
+
+    own = docs.select(place, prints(F.col(text).cast("string")).alias("p")).select("place", "p.fp", "p.wide")
+    own = staged(own, "fingerprints")
+    distinct = own.groupBy(F.col("fp").alias("node")).agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide"))
+    distinct = staged(distinct, "distinct")
+    links = staged(near_links(distinct.select(F.col("node").alias("fp")), RADIUS).distinct(), "near")
+    first = _grouped(distinct, _verified(docs, text, found, distinct, links, words, similarity)).groupBy("label")
+    reps = first.agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide")).withColumnRenamed("label", "node")
+    reps = staged(reps, "groups")
+    pairs = staged(_similar_pairs(reps.withColumnRenamed("node", "label")), "pairs")
+    final = _grouped(reps, _verified(docs, text, found, reps, pairs, words, similarity))
+    best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")), "survivors")
+    kept = docs.join(best, found, "left_semi")
     again = own.join(best, F.col("place.id").eqNullSafe(F.col("__id")) & (F.col("place.mark") == F.col("__mark")), "left_semi").count()
     return kept.dropDuplicates() if again > best.count() else kept

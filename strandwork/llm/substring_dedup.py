@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Cut bits (a cut every 2 ** BITS bytes after the least size), least and most bytes of a chunk, least bytes of a run.
 BITS, LEAST, MOST, RUN = 4, 16, 1024, 100
 WINDOW = 32
@@ -120,7 +122,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: in
     """
     own = chunks(docs, text, **sizes)
     shared = own.groupBy("hi", "lo").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = shared.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "first")
+    # Staged, so that the join has plain shuffles on both sides, of which large partitions can be split.
+    shared = staged(shared.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "first"), "shared")
     met = own.where("size > 0").join(shared, (F.col("hi") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
     repeat = (F.col("row") != F.col("first")) | F.col("again")
     by_row = met.groupBy("row").agg(F.sum("size").alias("n_repeated"), F.collect_list(F.when(repeat, F.struct("start", "size"))).alias("found"))

@@ -332,7 +332,8 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     copied = staged(rows.join(copies, "sha").select("row", (F.col("row") == F.col("one")).alias("stays")), "copies")
 
     found = staged(numbered.select("row", "data").mapInArrow(_anchor_rows(length), "row bigint, anchor int, first int, last int, gram bigint"), "anchors")
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("g"))
+    # Staged, so that the join has plain shuffles on both sides, of which large partitions can be split.
+    shared = staged(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("g")), "grams")
     held = found.join(shared, F.col("gram") == F.col("g"), "left_semi").groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("anchor", "first", "last", "gram")).alias("found"))
     held = held.join(copied.where(~F.col("stays")).select(F.col("row").alias("gone")), F.col("of") == F.col("gone"), "left_anti")
     candidates = staged(numbered.select("row", "data").join(held, F.col("row") == F.col("of")).select("row", "data", "found"), "candidates")
