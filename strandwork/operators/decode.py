@@ -307,8 +307,11 @@ class Decoded:
     layer: list[tuple[int, int]]
 
 
-def decode_stream(left: np.ndarray, right: np.ndarray, k: int, rate_code: int) -> Decoded:
-    """Decode a stream that opens at frame 0; its end is announced, or 544 frames before the input's."""
+def decode_stream(left: np.ndarray, right: np.ndarray, k: int, rate_code: int, baseline: bool = False) -> Decoded:
+    """Decode a stream that opens at frame 0; its end is announced, or 544 frames before the input's.
+
+    baseline: with the same parameters and dither, but neither residuals nor refinement.
+    """
     bits = ((left ^ right) >> k & 1).astype(np.uint8)
     found = list(control.parse_packets(bits))
     if not found or found[0]["type"] != 5:
@@ -351,7 +354,8 @@ def decode_stream(left: np.ndarray, right: np.ndarray, k: int, rate_code: int) -
             if kind == "record":
                 ident = m["stream_id"]
                 refiner.counter = 0
-                refiner.ask(SCALES[ident >> 6 & 63], 0)
+                if not baseline:
+                    refiner.ask(SCALES[ident >> 6 & 63], 0)
                 residuals.configure((ident >> 12 & 63, ident >> 18 & 63), -1, m["part_a"])
                 output = Output(params)
                 if not messages._same_stream(ident, messages.MessageWriter.stream_id(params.scale_index)):
@@ -359,7 +363,8 @@ def decode_stream(left: np.ndarray, right: np.ndarray, k: int, rate_code: int) -
                 output.history(m["part_b"])
             elif kind == "sync" and m["kind"] == 2:
                 refiner.counter = n * GROUP
-                refiner.ask(SCALES[m["stream_id"] >> 6 & 63], m["refinement"])
+                if not baseline:
+                    refiner.ask(SCALES[m["stream_id"] >> 6 & 63], m["refinement"])
             elif kind == "sync":
                 residuals.configure((m["stream_id"] >> 12 & 63, m["stream_id"] >> 18 & 63), m["symbols"])
             elif kind == "lost":
@@ -367,14 +372,17 @@ def decode_stream(left: np.ndarray, right: np.ndarray, k: int, rate_code: int) -
             else:
                 return Decoded(out, n * GROUP, layer)
         a, b = refiner.group(a, b)
-        p, q = residuals.group(len(a))
+        p, q = ([0] * GROUP, [0] * GROUP) if baseline else residuals.group(len(a))
         layer += list(zip(p, q, strict=True))[: len(a)]
         out += output.group(a, b, p[: len(a)], q[: len(a)])
     return Decoded(out, end, layer)
 
 
-def decode_file(left: np.ndarray, right: np.ndarray, rate_code: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(kind, status, pairs) pieces of a whole file: `passed` frames as they are, `decoded` ones at twice the rate."""
+def decode_file(left: np.ndarray, right: np.ndarray, rate_code: int, baseline: bool = False, layer: bool = False) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(kind, status, pairs) pieces of a whole file: `passed` frames as they are, `decoded` ones at twice the rate.
+
+    layer: pieces of kind `layer` follow the decoded ones, the residuals of each carrier frame.
+    """
     magic = bytes(control.MAGIC >> i & 1 for i in range(32))
     at, total = 0, len(left)
     while at < total:
@@ -387,7 +395,7 @@ def decode_file(left: np.ndarray, right: np.ndarray, rate_code: int) -> Iterator
         if at >= total:
             return
         try:
-            found = decode_stream(left[at:], right[at:], k, rate_code)
+            found = decode_stream(left[at:], right[at:], k, rate_code, baseline)
         except Declined as e:
             yield "passed", str(e), list(zip(left[at:].tolist(), right[at:].tolist(), strict=True))
             return
@@ -395,18 +403,36 @@ def decode_file(left: np.ndarray, right: np.ndarray, rate_code: int) -> Iterator
             yield "passed", "too short", list(zip(left[at:].tolist(), right[at:].tolist(), strict=True))
             return
         yield "decoded", "ok", found.pairs
+        if layer:
+            yield "layer", "ok", found.layer
         at += found.frames
 
 
-def decode(frames: DataFrame, rate_code: int = 8) -> DataFrame:
-    """(file_id, out_frame, l, r, kind, status) of whole files (file_id, frame, l, r): each file is one ordered pass."""
-
+def _pieces(frames: DataFrame, rate_code: int, baseline: bool, kinds: tuple[str, ...]) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("frame")
         left, right = (frame[c].to_numpy().astype(np.int64) for c in "lr")
-        rows = [(kind, status, *pair) for kind, status, pairs in decode_file(left, right, rate_code) for pair in pairs]
+        rows = [(kind, status, *pair) for kind, status, pairs in decode_file(left, right, rate_code, baseline, "layer" in kinds) if kind in kinds for pair in pairs]
         out = pd.DataFrame(rows, columns=["kind", "status", "l", "r"])
         out["file_id"], out["out_frame"] = int(frame["file_id"].iat[0]), range(len(out))
         return out[["file_id", "out_frame", "l", "r", "kind", "status"]]
 
     return frames.groupBy("file_id").applyInPandas(run, "file_id bigint, out_frame bigint, l bigint, r bigint, kind string, status string")
+
+
+def decode(frames: DataFrame, rate_code: int = 8, baseline: bool = False) -> DataFrame:
+    """(file_id, out_frame, l, r, kind, status) of whole files (file_id, frame, l, r): each file is one ordered pass."""
+    return _pieces(frames, rate_code, baseline, ("passed", "decoded"))
+
+
+def layer(frames: DataFrame, rate_code: int = 8) -> DataFrame:
+    """(file_id, n, p, q): the residual layer of each file's streams, a row for each carrier frame decoded."""
+    found = _pieces(frames, rate_code, False, ("layer",))
+    return found.selectExpr("file_id", "out_frame as n", "l as p", "r as q")
+
+
+def extra(frames: DataFrame, rate_code: int = 8) -> DataFrame:
+    """(file_id, out_frame, l, r): what the hidden channel adds: decoded frames less the baseline's."""
+    whole = decode(frames, rate_code).where("kind = 'decoded'")
+    plain = decode(frames, rate_code, True).where("kind = 'decoded'").selectExpr("file_id", "out_frame", "l as bl", "r as br")
+    return whole.join(plain, ["file_id", "out_frame"]).selectExpr("file_id", "out_frame", "l - bl as l", "r - br as r")

@@ -479,3 +479,13 @@ def wrap_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["wrap_carrier"] = "SELECT DISTINCT user_id % 4 AS file_id, true AS found, 0::BIGINT AS sync_frame, 8::BIGINT AS k, 9::BIGINT AS orig_rate, 8::BIGINT AS src_rate, 0::BIGINT AS auth_level, false AS studio FROM events"
+
+
+@query()
+def residual_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.layer(encode.encode(_tones(spark, sf_dir)))
+
+
+@query()
+def extra_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.extra(encode.encode(_tones(spark, sf_dir)))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -257,3 +258,22 @@ def write_files(frames: DataFrame, folder: str, rate: int = RAW_RATE, bits: int
     rows = dealt.select(F.col("file_id").cast("string").alias("path"), "frame", "l", "r")
     rows.write.format("pcm").option("path", folder).option("bits", bits).option("rate", rate).option("kind", kind).mode("append").save()
     return parts
+
+
+def write_blobs(blobs: DataFrame, folder: str) -> DataFrame:
+    """Write each row's `data` to folder/<file_id>.bin (a URI that executors share); (file_id, path, size) says what."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            names = [f"{root}/{i}.bin" for i in batch.column(0).to_pylist()]
+            data = [x or b"" for x in batch.column(1).to_pylist()]
+            for name, content in zip(names, data, strict=True):
+                with fs.open_output_stream(name) as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array([len(d) for d in data], pa.int64())], ["file_id", "path", "size"])
+
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    done = blobs.select("file_id", "data").mapInArrow(run, "file_id bigint, path string, size bigint").collect()  # a row a file
+    return blobs.sparkSession.createDataFrame(done, "file_id bigint, path string, size bigint")

@@ -93,6 +93,17 @@ def test_files_in_spark_and_the_report(spark):
     assert all(r.n_decoded == 3968 and r.n_passed == 0 and r.error_db < -20 for r in report.values())
 
 
+def test_layer_and_extra(spark):
+    rows = [(0, i, int(a), int(b)) for i, (a, b) in enumerate(tones(2400))]
+    carrier = encode.encode(spark.createDataFrame(rows, FRAMES)).cache()
+    out = decode.decode(carrier).orderBy("out_frame").collect()
+    layer = decode.layer(carrier).orderBy("n").collect()
+    assert len(layer) == carrier.count() == len(out) // 2 and any(r.p for r in layer)
+    plain = decode.decode(carrier, baseline=True).orderBy("out_frame").collect()
+    added = decode.extra(carrier).orderBy("out_frame").collect()
+    assert [r.l for r in added] == [a.l - b.l for a, b in zip(out, plain, strict=True)] and any(r.l for r in added)
+
+
 def test_backward_coder_is_read_forwards():
     rng = np.random.default_rng(12345)
     c, want = encode.BackwardCoder(), []

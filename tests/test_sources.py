@@ -50,3 +50,10 @@ def test_catalogue(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in pcm.walk(str(tmp_path))] == ["a.wav", "b.RAW", "c.pcm"]
     loose = spark.read.format("pcm").option("strict", "false").load(str(tmp_path / "b.RAW"))
     assert loose.count() == 1
+
+
+def test_blobs(spark, tmp_path):
+    blobs = spark.createDataFrame([(1, b"abc"), (2, b""), (3, None)], "file_id bigint, data binary")
+    got = pcm.write_blobs(blobs, f"file://{tmp_path}/blobs").collect()
+    assert sorted((r.file_id, r.size) for r in got) == [(1, 3), (2, 0), (3, 0)]
+    assert (tmp_path / "blobs" / "1.bin").read_bytes() == b"abc"
