@@ -15,7 +15,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,6 @@ class Vocabulary:
     specials: dict[str, int]
     splitter: object = None
     words: object = None
-    loose: object = None
 
     of_bytes: object = None
 
@@ -62,7 +61,6 @@ class Vocabulary:
     def ready(self) -> None:
         if self.words is None:
             self.words = regex.compile(PATTERN).findall
-            self.loose = re.compile(r" (?=\s|$)").search
             longest = sorted(self.specials, key=len, reverse=True)
             self.splitter = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else None
 
@@ -92,34 +90,36 @@ def merge_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarr
     none = np.int32(len(v.keys))
 
     def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(v.keys, key), none - 1)
         return np.where(v.keys[at] == key, v.ranks[at], none)
 
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b"".join(words), np.uint8)
-    ids = v.of_byte[data]
-    owner = np.repeat(np.arange(len(words)), lengths)
+    ids = v.of_byte[data].astype(np.int32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     rank = np.full(len(ids), none)
     inner = np.nonzero(owner[:-1] == owner[1:])[0]
     rank[inner] = v.byte_ranks(ranks)[data[inner].astype(np.int64) << 8 | data[inner + 1]]  # of the pair that a symbol forms with the next one of its word
     done_ids, done_owner = [], []
     while len(ids):
         starts = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1])
-        least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
-        over = least == none
-        places = np.nonzero((rank == least) & ~over)[0]
+        lowest = np.minimum.reduceat(rank, starts)
+        least = np.repeat(lowest, np.diff(np.append(starts, len(ids))))
+        places = np.nonzero((rank == least) & (rank != none))[0]
         first = np.concatenate([[True], np.diff(places) != 1])[: len(places)]
         run_start = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
         places = places[(np.arange(len(places)) - run_start) % 2 == 0]
-        if over.any():
+        keep = np.ones(len(ids), bool)
+        if (lowest == none).any():
+            over = least == none
             done_ids.append(ids[over])
             done_owner.append(owner[over])
+            keep = ~over
         ids[places] = v.merged[rank[places]]
         rank[places] = none
-        keep = ~over
         keep[places + 1] = False
-        after = np.cumsum(keep) - 1
+        after = np.cumsum(keep, dtype=np.int32) - 1
         ids, owner, rank = ids[keep], owner[keep], rank[keep]
         new = after[places]
         beside = np.zeros(len(ids) + 1, bool)
@@ -129,10 +129,10 @@ def merge_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarr
         rank[new[~within]] = none
         new = new[within]
         rank[new] = ranks(ids[new], ids[new + 1])
-    ids = np.concatenate([*done_ids, np.empty(0, np.int64)])
-    owner = np.concatenate([*done_owner, np.empty(0, np.int64)])
+    ids = np.concatenate([*done_ids, np.empty(0, np.int32)])
+    owner = np.concatenate([*done_owner, np.empty(0, np.int32)])
     order = np.argsort(owner, kind="stable")
-    return ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
 def decode_bytes(v: Vocabulary, ids: Iterable[int]) -> str:
@@ -140,6 +140,18 @@ def decode_bytes(v: Vocabulary, ids: Iterable[int]) -> str:
     return b"".join([v.pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
+#: A space and what makes it no beginning of a word.
+_LOOSE = re.compile(r" (?=\s|$)").search
+_LOOSE_ASCII = tuple(f" {chr(c)}" for c in range(128) if chr(c).isspace())
+
+
+def _is_loose(text: str) -> bool:
+    """Whether a space stands before white space or at the end."""
+    if text.isascii():
+        return text[-1] == " " or any([pair in text for pair in _LOOSE_ASCII])
+    return _LOOSE(text) is not None
+
+
 def _split(v: Vocabulary, text: str) -> list[str]:
     """Words of a text; special tokens stand alone and are never split."""
     if v.splitter is None or not any(s in text for s in v.specials):
@@ -173,26 +185,38 @@ def encode_block(v: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np
     index = array("q")  # units of all texts: spaced pieces as they are numbered, exact words as ~number
     counts = [0]
     for t in texts:
-        if t and (v.loose(t) or v.splitter is not None and any(s in t for s in v.specials)):
+        if t and (_is_loose(t) or v.splitter is not None and any(s in t for s in v.specials)):
             index.extend([~exact[w] for w in _split(v, t)])
         elif t:
             first, *rest = t.split(" ")
             index.extend([~exact[w] for w in v.words(first)])
             index.extend(map(spaced.__getitem__, rest))
         counts.append(len(index))
+    pieces = list(spaced)
+    letters = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))  # a space and letters are one word
+    single, several = np.nonzero(letters)[0], np.nonzero(~letters)[0]
     words = Numbers(exact)
-    inside = [[words[" " + p]] if p.isalpha() else [words[w] for w in v.words(" " + p)] for p in spaced]
+    inside = [list(map(words.__getitem__, v.words(" " + pieces[i]))) for i in several.tolist()]
     plain = [b"" if w in v.specials else w.encode("utf-8", "surrogatepass") for w in words]
+    plain += [b" " + pieces[i].encode() for i in single.tolist()]
     ids, begins = merge_words(v, plain)
     if not v.specials.keys().isdisjoint(words):  # special tokens are one id each
-        parts = [np.array([v.specials[w]], np.int32) if w in v.specials else ids[begins[i] : begins[i + 1]] for i, w in enumerate(words)]
+        parts = [ids[begins[i] : begins[i + 1]] for i in range(len(plain))]
+        for w in v.specials.keys() & words.keys():
+            parts[words[w]] = np.array([v.specials[w]], np.int32)
         ids, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-    members = np.array([*chain.from_iterable(inside), *range(len(exact))], np.int64)
-    sizes = [*map(len, inside), *repeat(1, len(exact))]
+    # Members of the units: of spaced pieces first, then of exact words, which are their own.
+    sizes = np.ones(len(pieces) + len(exact), np.int64)
+    sizes[several] = list(map(len, inside))
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    members = np.empty(firsts[-1], np.int64)
+    members[firsts[single]] = len(words) + np.arange(len(single))
+    members[firsts[len(pieces)] :] = np.arange(len(exact))
+    at, _ = _gather(np.arange(len(members)), firsts, several)
+    members[at] = list(chain.from_iterable(inside))
     member_ids, member_ends = _gather(ids, begins, members)
-    unit_begins = member_ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
     units = np.frombuffer(index, np.int64)
-    flat, ends = _gather(member_ids, unit_begins, np.where(units < 0, len(spaced) + ~units, units))
+    flat, ends = _gather(member_ids, member_ends[firsts], np.where(units < 0, len(pieces) + ~units, units))
     return flat, ends[np.array(counts)]
 
 

@@ -60,6 +60,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     x, y = F.col(a), F.col(b)
     links = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("v"), F.greatest(x, y).alias("u"))
     links = staged(links.distinct(), "links")
+    none = links.select(F.col("v").alias("node"), F.col("v").alias("label"))
+    if links.isEmpty():
+        return none
     seen = None
     for _ in range(rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -277,6 +277,8 @@ def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFra
 
 def _verified(docs: DataFrame, text: str, found: Column, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes (node, place) whose texts share enough shingles; found says which row a place is."""
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
     asked = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
     texts = staged(docs.join(asked, found).groupBy("node").agg(F.first(F.col(text).cast("string")).alias("t")), "texts")
