@@ -489,3 +489,16 @@ def residual_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def extra_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.extra(encode.encode(_tones(spark, sf_dir)))
+
+
+def _lags_sql(c: str, taps: tuple[int, ...], first: int) -> str:
+    return " + ".join(f"coalesce(lag({c}, {n + first}) OVER w, 0) * {k}" if n + first else f"{c} * {k}" for n, k in enumerate(taps))
+
+
+@query(
+    f"""WITH {FRAMES}, a AS (SELECT file_id, frame, l, r, (l * 4294967296 + {_lags_sql('l', kernels.C[4:8], 1)}) >> 32 AS lu, (r * 4294967296 + {_lags_sql('r', kernels.C[4:8], 1)}) >> 32 AS ru
+FROM frames WINDOW w AS (PARTITION BY file_id ORDER BY frame))
+SELECT *, ({_lags_sql('lu', kernels.C[8:22], 0)}) >> 32 AS lv, ({_lags_sql('ru', kernels.C[8:22], 0)}) >> 32 AS rv FROM a WINDOW w AS (PARTITION BY file_id ORDER BY frame)"""
+)
+def long_filter_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.long_filter(event_frames(spark, sf_dir))
