@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import drop_path, shared_path
 
-LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
+LENGTH, PER_SHARD, ROUNDS = 4096, 2048, 6
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _numbered(table: DataFrame, per_shard: int, key: int) -> tuple[DataFrame, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = sent.value.get(TaskContext.get().partitionId(), 0)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for low in range(0, len(batch), 4096):
                 part = batch.slice(low, 4096)
