@@ -115,8 +115,8 @@ def _runs(found: Column, run: int) -> Column:
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN, **sizes: int) -> DataFrame:
     """(doc_id, n_bytes, n_repeated, n_removed, n_spans, spans), a row for each row of docs.
 
-    n_repeated counts the bytes of chunks that occur elsewhere too, the first of them included; spans are the runs of
-    bytes removed, as array<struct<start,end>>. A null text is empty. Of repeated rows the first in input order keeps
+    n_repeated counts the bytes in runs of chunks that occur elsewhere too, the first occurrences included; spans are the
+    runs of bytes removed, as array<struct<start,end>>. A null text is empty. Of repeated rows the first in input order keeps
     its text. Other columns are not read; an empty table gives an empty result. docs is read more than once and its
     rows are numbered as they come, so it must be a table or something else that comes in the same order each time.
     """
@@ -126,14 +126,17 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: in
     shared = staged(shared.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "first"), "shared")
     met = own.where("size > 0").join(shared, (F.col("hi") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
     repeat = (F.col("row") != F.col("first")) | F.col("again")
-    by_row = met.groupBy("row").agg(F.sum("size").alias("n_repeated"), F.collect_list(F.when(repeat, F.struct("start", "size"))).alias("found"))
-    by_row = by_row.select(F.col("row").alias("of"), "n_repeated", _runs(F.array_sort("found"), run).alias("spans"))
+    by_row = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "size", repeat.alias("later")))).alias("found"))
+    by_row = by_row.select(F.col("row").alias("of"), _runs(F.col("found"), run).alias("shared"), _runs(F.filter("found", lambda c: c["later"]), run).alias("spans"))
     n_bytes = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("bigint")
     names = docs.select(F.monotonically_increasing_id().alias("at"), F.col(doc_id).alias("doc_id"), n_bytes.alias("n_bytes"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     rows = names.join(by_row, F.col("at") == F.col("of"), "left")
-    removed = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated"), removed.alias("n_removed"), F.size(spans).cast("bigint").alias("n_spans"), spans.alias("spans"))
+
+    def total(runs: Column) -> Column:
+        return F.aggregate(runs, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+
+    return rows.select("doc_id", "n_bytes", F.coalesce(total(F.col("shared")), F.lit(0)).cast("bigint").alias("n_repeated"), total(spans).alias("n_removed"), F.size(spans).cast("bigint").alias("n_spans"), spans.alias("spans"))
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
