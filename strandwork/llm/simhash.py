@@ -246,17 +246,11 @@ def wide_triples(count: int = 128) -> list[tuple[int, int, int]]:
     return [every[i] for i in sorted(picked.tolist())]
 
 
-def _similarity(a: str | None, b: str | None, words: int) -> float:
-    """Shared over all distinct word shingles of two texts."""
-    x, y = set(_hashes(a, words).tolist()), set(_hashes(b, words).tolist())
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
 def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFrame:
     """(a, b) labels of rows (label, wide) that post a triple together, share bytes and differ in at most `limit` bits.
 
     At a similarity of 0.8 of five-word shingles some 30 of 256 bits differ and 12 of 32 bytes are shared; of pairs that
-    alike about one in a hundred shares no posted triple.
+    alike about one in a hundred shares no posted triple. Long lists give out a spanning tree instead of their pairs.
     """
 
     octets = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda p: F.call_function("shiftright", F.get("wide", F.floor(p / 8).cast("int")), (p % 8) * 8).bitwiseAND(255))
@@ -266,7 +260,10 @@ def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFra
         return i.cast("bigint") * (1 << 24) + F.get("octets", t[0]) + F.get("octets", t[1]) * 256 + F.get("octets", t[2]) * 65536
 
     posted = reps.select("label", octets.alias("octets"), triples.alias("triples")).select(F.explode(F.transform("triples", key)).alias("key"), "label")
-    pairs = posted.withColumnRenamed("label", "a").join(posted.withColumnRenamed("label", "b"), "key").where("a < b").select("a", "b").distinct()
+    met = staged(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_short_lists, "key bigint, a bigint, b bigint"), "lists")
+    long = met.where("b is null").select("key", F.col("a").alias("of")).join(reps.select("label", "wide"), F.col("of") == F.col("label"))
+    trees = long.select("key", "label", *[F.col("wide")[n].alias(f"w{n}") for n in range(4)]).repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "a bigint, b bigint")
+    pairs = met.where("b is not null").select("a", "b").union(trees).distinct()
     left, right = (reps.select(F.col("label").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     words = [F.col("wa")[n].bitwiseXOR(F.col("wb")[n]) for n in range(4)]
@@ -275,19 +272,87 @@ def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFra
     return both.where((differ <= limit) & (same >= shared)).select("a", "b")
 
 
+#: Members of a list up to which all its pairs are taken.
+FEW = 8
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole lists, from batches sorted by the key in column 0; a list may run over batches."""
+    held: list[np.ndarray] | None = None
+    for batch in (*batches, None):
+        if batch is None:
+            if held is not None and len(held[0]):
+                yield held
+            return
+        new = [c.to_numpy() for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if whole:
+            yield [c[:whole] for c in held]
+            held = [c[whole:] for c in held]
+
+
+def _sizes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of lists of two to FEW; the members of longer ones, without a partner."""
+    for keys, labels in _runs(batches):
+        size = np.repeat(_sizes(keys)[1], _sizes(keys)[1])
+        out = [(keys[size > FEW], labels[size > FEW], np.full(int((size > FEW).sum()), np.iinfo(np.int64).min))]
+        for gap in range(1, FEW):
+            at = np.nonzero((keys[gap:] == keys[:-gap]) & (size[gap:] <= FEW))[0]
+            out.append((keys[at], np.minimum(labels[at], labels[at + gap]), np.maximum(labels[at], labels[at + gap])))
+        k, a, b = map(np.concatenate, zip(*out, strict=True))
+        lone = np.concatenate([np.ones(len(out[0][0]), bool), np.zeros(len(k) - len(out[0][0]), bool)])
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b, mask=lone)], ["key", "a", "b"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A minimum spanning tree by differing bits of each list (key, label, four words).
+
+    For every bound on the bits, its links within the bound join what all pairs within the bound would join.
+    """
+    for columns in _runs(batches):
+        for at, n in zip(*_sizes(columns[0]), strict=True):
+            labels = columns[1][at : at + n]
+            wide = np.stack([c[at : at + n].astype(np.int64).view(np.uint64) for c in columns[2:]], axis=1)
+            best, near, free = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool)
+            here, tree = 0, []
+            for _ in range(n - 1):
+                free[here] = False
+                d = np.bitwise_count(wide ^ wide[here]).sum(axis=1, dtype=np.int64)
+                closer = free & (d < best)
+                best[closer], near[closer] = d[closer], here
+                here = int(np.where(free, best, 1 << 21).argmin())
+                tree.append((near[here], here))
+            if tree:
+                i, j = np.array(tree).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(labels[i], labels[j])), pa.array(np.maximum(labels[i], labels[j]))], ["a", "b"])
+
+
 def _verified(docs: DataFrame, text: str, found: Column, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes (node, place) whose texts share enough shingles; found says which row a place is."""
-    if pairs.isEmpty():
-        return pairs
-    ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-    asked = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
-    texts = staged(docs.join(asked, found).groupBy("node").agg(F.first(F.col(text).cast("string")).alias("t")), "texts")
+
+    @F.pandas_udf("array<bigint>")
+    def distinct_shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, words)).view(np.int64) for t in texts])
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_similarity(x, y, words) for x, y in zip(a, b, strict=True)], dtype="float64")
+        shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+        return pd.Series([s / max(len(x) + len(y) - s, 1) if len(x) or len(y) else 1.0 for x, y, s in zip(a, b, shared, strict=True)], dtype="float64")
 
-    left, right = (texts.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
+    asked = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
+    rows = docs.join(asked, found).select("node", distinct_shingles(F.col(text).cast("string")).alias("t"))
+    sets = staged(rows.groupBy("node").agg(F.first("t").alias("t")), "shingles")
+    left, right = (sets.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb") >= similarity).select("a", "b")
 
 
@@ -300,10 +365,11 @@ def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one of smallest doc_id (rows without one come last).
 
-    Rows of one 64-bit fingerprint of `words`-word shingles are copies. Two rounds join more: first fingerprints within
-    four bits, by the index that loses no such pair; then the first row of each group so made against those of other
-    groups, by shared positional bytes of 256-bit fingerprints. In both, links are verified by the exact share of common
-    shingles, which has to be `similarity` or more. All columns stay; rows that agree in everything count as one; rows
+    Two rounds. Rows whose 64-bit fingerprints of `words`-word shingles are the same or within four bits are one group,
+    through the index that loses no such pair and gives out no group's pairs: texts that near share well over 0.8 of
+    their shingles. Then the first row of each group stands against those of the others: pairs that share positional
+    bytes of 256-bit fingerprints are verified by the exact share of common shingles, which has to be `similarity` or
+    more. All columns stay; rows that agree in everything count as one; rows
     without words are one group.
     """
     mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
@@ -319,8 +385,8 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     own = staged(own, "fingerprints")
     distinct = own.groupBy(F.col("fp").alias("node")).agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide"))
     distinct = staged(distinct, "distinct")
-    links = staged(near_links(distinct.select(F.col("node").alias("fp")), RADIUS).distinct(), "near")
-    first = _grouped(distinct, _verified(docs, text, found, distinct, links, words, similarity)).groupBy("label")
+    links = near_links(distinct.select(F.col("node").alias("fp")), RADIUS)
+    first = _grouped(distinct, links).groupBy("label")
     reps = first.agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide")).withColumnRenamed("label", "node")
     reps = staged(reps, "groups")
     pairs = staged(_similar_pairs(reps.withColumnRenamed("node", "label")), "pairs")
