@@ -93,7 +93,7 @@ def packed(docs: DataFrame, path: str, end: int, length: int = LENGTH, text: str
         for batch in batches:
             ids = batch.schema.field(1).type
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in bpe.blocks(texts):
+            for low, high in bpe.blocks(texts, 2 * bpe.BLOCK):
                 flat, ends = bpe.encode_block(v, texts[low:high])
                 data = flat.astype(f"<u{width}").tobytes()
                 for name, a, b in zip(names[low:high], ends[:-1].tolist(), ends[1:].tolist(), strict=True):

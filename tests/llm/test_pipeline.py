@@ -8,12 +8,13 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def survivors(rows):
-    """The first document of each group that similarities of 0.8 of five-word shingles make, by all pairs."""
+    """The first document of each group that similarities of 0.8 of five-word shingles, or four bits, make, by all pairs."""
     sets = {i: set(simhash._hashes(t, 5).tolist()) for i, t in rows}
+    fps = {i: simhash.fingerprint(t, 5) for i, t in rows}
     least = {i: i for i in sets}
     for i in sorted(sets):
         for j in sorted(sets):
-            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if i < j and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 4):
                 a, b = sorted((least[i], least[j]))
                 least = {k: a if v == b else v for k, v in least.items()}
     return {i for i in sets if least[i] == i}
