@@ -250,8 +250,8 @@ def wide_triples(count: int = 128) -> list[tuple[int, int, int]]:
     return [every[i] for i in sorted(picked.tolist())]
 
 
-def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFrame:
-    """(a, b) labels of rows (label, wide) that post a triple together, share bytes and differ in at most `limit` bits.
+def _similar_pairs(reps: DataFrame, shared: int = 4) -> DataFrame:
+    """(a, b) labels of rows (label, wide) that post a triple together, share bytes and differ in at most LIMIT bits.
 
     At a similarity of 0.8 of five-word shingles some 30 of 256 bits differ and 12 of 32 bytes are shared; of pairs that
     alike about one in a hundred shares no posted triple. Long lists give out a spanning tree instead of their pairs.
@@ -273,11 +273,11 @@ def _similar_pairs(reps: DataFrame, limit: int = 64, shared: int = 4) -> DataFra
     words = [F.col("wa")[n].bitwiseXOR(F.col("wb")[n]) for n in range(4)]
     differ = sum((F.bit_count(w) for w in words), F.lit(0))
     same = sum(((F.shiftright(w, 8 * k).bitwiseAND(255) == 0).cast("int") for w in words for k in range(8)), F.lit(0))
-    return both.where((differ <= limit) & (same >= shared)).select("a", "b")
+    return both.where((differ <= LIMIT) & (same >= shared)).select("a", "b")
 
 
-#: Members of a list up to which all its pairs are taken.
-FEW = 8
+#: Members of a list up to which all its pairs are taken, and bits of 256 that similar texts differ in at most.
+FEW, LIMIT = 8, 64
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -318,7 +318,8 @@ def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A minimum spanning tree by differing bits of each list (key, label, four words).
 
-    For every bound on the bits, its links within the bound join what all pairs within the bound would join.
+    For every bound on the bits, its links within the bound join what all pairs within the bound would join; links over
+    LIMIT are of no use.
     """
     for columns in _runs(batches):
         for at, n in zip(*_sizes(columns[0]), strict=True):
@@ -332,7 +333,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 closer = free & (d < best)
                 best[closer], near[closer] = d[closer], here
                 here = int(np.where(free, best, 1 << 21).argmin())
-                tree.append((near[here], here))
+                if best[here] <= LIMIT:
+                    tree.append((near[here], here))
             if tree:
                 i, j = np.array(tree).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(labels[i], labels[j])), pa.array(np.maximum(labels[i], labels[j]))], ["a", "b"])
