@@ -277,7 +277,7 @@ def _similar_pairs(reps: DataFrame, shared: int = 4) -> DataFrame:
 
 
 #: Members of a list up to which all its pairs are taken, and bits of 256 that similar texts differ in at most.
-FEW, LIMIT = 8, 64
+FEW, LIMIT = 4, 64
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
