@@ -7,9 +7,9 @@ any four shared positions contain a posted triple (20 of the 56 triples do). Lis
 Within a list the shared positional bytes of each pair are tallied, pairs below four are passed over, and the rest are
 verified by their differing bits. A list gives out a spanning forest of its links, not its pairs.
 
-`near_duplicates` reports these components. `deduplicated`, which wants all near copies by shingle similarity, goes on
-from them: four bits of 64 hold texts that share some nineteen shingles in twenty, so the first rows of the groups are
-met again by 256-bit fingerprints, whose shared positional bytes are tallied in the same way, and verified exactly.
+`near_duplicates` reports these components. `deduplicated`, which wants all near copies by shingle similarity, does not
+use them, since few differing bits do not make two texts similar: it meets all distinct sets of shingles by 256-bit
+fingerprints, whose shared positional bytes are tallied in the same way, and verifies every link exactly.
 """
 
 from __future__ import annotations
@@ -73,6 +73,11 @@ def wide_fingerprint(text: str | None) -> list[int]:
     return np.array(out, np.uint64).view(np.int64).tolist()
 
 
+def set_digest(text: str | None, words: int) -> int:
+    """A signed digest of the set of shingles of a text; equal sets have equal digests."""
+    return int(np.uint64(xxhash.xxh64_intdigest(np.unique(_hashes(text, words)).tobytes(), SEED)).astype(np.int64))
+
+
 def position_triples() -> list[tuple[int, int, int]]:
     """Byte triples such that any four of the eight positions contain one: Turan's construction over three groups."""
     group = {p: p % 3 for p in range(8)}
@@ -371,29 +376,22 @@ def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one of smallest doc_id (rows without one come last).
 
-    Two rounds. Rows whose 64-bit fingerprints of `words`-word shingles are the same or within four bits are one group,
-    through the index that loses no such pair and gives out no group's pairs (at a similarity of 0.75 one pair in
-    seventy is that near, at 0.5 none). Then the first row of each group stands against those of the others: pairs that share positional
-    bytes of 256-bit fingerprints are verified by the exact share of common shingles, which has to be `similarity` or
-    more. All columns stay; rows that agree in everything count as one; rows
-    without words are one group.
+    Rows of the same set of `words`-word shingles are one group. The first row of each set stands against those of all
+    others: pairs that share positional bytes of 256-bit fingerprints are verified by the exact share of common
+    shingles, which has to be `similarity` or more; groups are joined by verified pairs only. All columns stay; rows that
+    agree in everything count as one; rows without words are one group.
     """
     mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
     place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), mark.alias("mark")).alias("place")
     found = F.col(doc_id).eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
 
-    @F.pandas_udf("fp bigint, wide array<bigint>")
+    @F.pandas_udf("node bigint, wide array<bigint>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "wide": [wide_fingerprint(t) for t in texts]})
+        return pd.DataFrame({"node": [set_digest(t, words) for t in texts], "wide": [wide_fingerprint(t) for t in texts]})
 
-    own = docs.select(place, prints(F.col(text).cast("string")).alias("p")).select("place", "p.fp", "p.wide")
+    own = docs.select(place, prints(F.col(text).cast("string")).alias("p")).select("place", "p.node", "p.wide")
     own = staged(own, "fingerprints")
-    distinct = own.groupBy(F.col("fp").alias("node")).agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide"))
-    distinct = staged(distinct, "distinct")
-    links = near_links(distinct.select(F.col("node").alias("fp")), RADIUS)
-    first = _grouped(distinct, links).groupBy("label")
-    reps = first.agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide")).withColumnRenamed("label", "node")
+    reps = own.groupBy("node").agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide"))
     reps = staged(reps, "groups")
     pairs = staged(_similar_pairs(reps.withColumnRenamed("node", "label")), "pairs")
     final = _grouped(reps, _verified(docs, text, found, reps, pairs, words, similarity))
