@@ -8,13 +8,14 @@ Within a list the shared positional bytes of each pair are tallied, pairs below
 verified by their differing bits. A list gives out a spanning forest of its links, not its pairs.
 
 `near_duplicates` reports these components. `deduplicated`, which wants all near copies by shingle similarity, does not
-use them, since few differing bits do not make two texts similar: it meets all distinct sets of shingles by 256-bit
-fingerprints, whose shared positional bytes are tallied in the same way, and verifies every link exactly.
+use them, since few differing bits do not make two texts similar. It meets the distinct sets of shingles by prefix
+filtering: in one order of all shingles, two sets of similarity s share one among the first n - ceil(s n) + 1 of each,
+so lists of those hold every pair wanted. All links are verified by the exact share of common shingles.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
 from itertools import chain, combinations
 
@@ -60,22 +61,9 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return _majority(_hashes(text, words))
 
 
-def wide_fingerprint(text: str | None) -> list[int]:
-    """A fingerprint of 256 bits over three-word shingles, as four signed words."""
-    values = _hashes(text, 3)
-    out = []
-    for n in range(4):
-        # Multipliers of the splitmix64 finaliser.
-        x = values + np.uint64(0x9E3779B97F4A7C15 * (n + 1) & (1 << 64) - 1)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ x >> np.uint64(31)))
-    return np.array(out, np.uint64).view(np.int64).tolist()
-
-
-def set_digest(text: str | None, words: int) -> int:
-    """A signed digest of the set of shingles of a text; equal sets have equal digests."""
-    return int(np.uint64(xxhash.xxh64_intdigest(np.unique(_hashes(text, words)).tobytes(), SEED)).astype(np.int64))
+def set_digest(values: np.ndarray) -> int:
+    """A signed digest of a sorted set of shingles; equal sets have equal digests."""
+    return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), SEED)).astype(np.int64))
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -249,40 +237,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return own.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_triples(count: int = 128) -> list[tuple[int, int, int]]:
-    """Triples of the 32 positions of a wide fingerprint."""
-    picked = np.random.default_rng(29).permutation(len(every := list(combinations(range(32), 3))))[:count]
-    return [every[i] for i in sorted(picked.tolist())]
+#: Members of a list up to which its pairs are taken at once.
+FEW = 4
+#: About so many rows are read for the common shingles; those in over so many of them count as common, so many at most.
+SAMPLE, OFTEN, COMMON = 5000, 4, 50_000
 
 
-def _similar_pairs(reps: DataFrame, shared: int = 4) -> DataFrame:
-    """(a, b) labels of rows (label, wide) that post a triple together, share bytes and differ in at most LIMIT bits.
+def _common_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many rows hold. They only set the order of shingles, so any choice is right."""
+
+    @F.pandas_udf("array<bigint>")
+    def distinct_shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, words)).view(np.int64) for t in texts])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    often = some.select(F.explode(distinct_shingles("t")).alias("s")).groupBy("s").count().where(F.col("count") > OFTEN)
+    top = often.orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
+    return np.sort(top["s"].to_numpy(np.int64).view(np.uint64))
 
-    At a similarity of 0.8 of five-word shingles some 30 of 256 bits differ and 12 of 32 bytes are shared; of pairs that
-    alike about one in a hundred shares no posted triple. Long lists give out a spanning tree instead of their pairs.
-    """
 
-    octets = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda p: F.call_function("shiftright", F.get("wide", F.floor(p / 8).cast("int")), (p % 8) * 8).bitwiseAND(255))
-    triples = F.from_json(F.lit(json.dumps(wide_triples())), "array<array<int>>")
+def _prefix_length(n: int, similarity: float) -> int:
+    """How many first shingles of a set of n hold one of every set that similar; all but the least number to share, and one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-    def key(t: Column, i: Column) -> Column:
-        return i.cast("bigint") * (1 << 24) + F.get("octets", t[0]) + F.get("octets", t[1]) * 256 + F.get("octets", t[2]) * 65536
 
-    posted = reps.select("label", octets.alias("octets"), triples.alias("triples")).select(F.explode(F.transform("triples", key)).alias("key"), "label")
-    met = staged(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_short_lists, "key bigint, a bigint, b bigint"), "lists")
-    long = met.where("b is null").select("key", F.col("a").alias("of")).join(reps.select("label", "wide"), F.col("of") == F.col("label"))
-    trees = long.select("key", "label", *[F.col("wide")[n].alias(f"w{n}") for n in range(4)]).repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "a bigint, b bigint")
-    pairs = met.where("b is not null").select("a", "b").union(trees).distinct()
-    left, right = (reps.select(F.col("label").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    words = [F.col("wa")[n].bitwiseXOR(F.col("wb")[n]) for n in range(4)]
-    differ = sum((F.bit_count(w) for w in words), F.lit(0))
-    same = sum(((F.shiftright(w, 8 * k).bitwiseAND(255) == 0).cast("int") for w in words for k in range(8)), F.lit(0))
-    return both.where((differ <= LIMIT) & (same >= shared)).select("a", "b")
+def _prefix(values: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in the order that puts common ones last, as far as they have to be posted."""
+    late = np.isin(values, common, assume_unique=True)
+    return np.concatenate([values[~late], values[late]])[: _prefix_length(len(values), similarity)]
 
 
-#: Members of a list up to which all its pairs are taken, and bits of 256 that similar texts differ in at most.
-FEW, LIMIT = 4, 64
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, a, b): pairs of the lists of nodes (node, prefix), and members (b null) of lists of over FEW."""
+    posted = nodes.select(F.explode("prefix").alias("key"), "node")
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_short_lists, "key bigint, a bigint, b bigint")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -293,7 +282,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             if held is not None and len(held[0]):
                 yield held
             return
-        new = [c.to_numpy() for c in batch.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if whole:
@@ -320,51 +309,103 @@ def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b, mask=lone)], ["key", "a", "b"])
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A minimum spanning tree by differing bits of each list (key, label, four words).
+def _similar(shared: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of x and y shingles that share so many are similar enough; empty sets are alike."""
+    return shared / np.maximum(x + y - shared, 1) >= np.where(x + y > 0, similarity, 0)
 
-    For every bound on the bits, its links within the bound join what all pairs within the bound would join; links over
-    LIMIT are of no use.
+
+def forest_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of similar sets that join, together with the parts given, all that similar pairs of these sets join.
+
+    A set is compared with all those of other parts that have not been looked at before, so no similar pair is passed
+    over but one whose ends are joined already.
     """
-    for columns in _runs(batches):
-        for at, n in zip(*_sizes(columns[0]), strict=True):
-            labels = columns[1][at : at + n]
-            wide = np.stack([c[at : at + n].astype(np.int64).view(np.uint64) for c in columns[2:]], axis=1)
-            best, near, free = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool)
-            here, tree = 0, []
-            for _ in range(n - 1):
-                free[here] = False
-                d = np.bitwise_count(wide ^ wide[here]).sum(axis=1, dtype=np.int64)
-                closer = free & (d < best)
-                best[closer], near[closer] = d[closer], here
-                here = int(np.where(free, best, 1 << 21).argmin())
-                if best[here] <= LIMIT:
-                    tree.append((near[here], here))
-            if tree:
-                i, j = np.array(tree).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(labels[i], labels[j])), pa.array(np.maximum(labels[i], labels[j]))], ["a", "b"])
-
-
-def _verified(docs: DataFrame, text: str, found: Column, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (node, place) whose texts share enough shingles; found says which row a place is."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, part = sizes[order], np.unique(parts[order], return_inverse=True)[1]
+    values, tokens = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    held = np.zeros(len(values) + 1, np.int64)
+    left, right = [], []
+    for i in range(len(sets) - 1):
+        # Sets come by size: those over a size's share are no partners.
+        end = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6, "right"))
+        if end <= i + 1 or (part[i + 1 : end] == part[i]).all():
+            continue
+        own = tokens[starts[i] : starts[i + 1]]
+        held[own] = 1
+        sums = np.concatenate([[0], np.cumsum(held[tokens[starts[i + 1] : starts[end]]])])
+        held[own] = 0
+        shared = np.diff(sums[starts[i + 1 : end + 1] - starts[i + 1]])
+        for j in np.nonzero(_similar(shared, sizes[i + 1 : end], sizes[i], similarity))[0] + i + 1:
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                left.append(order[i])
+                right.append(order[j])
+    return np.array(left, np.int64), np.array(right, np.int64)
 
-    @F.pandas_udf("array<bigint>")
-    def distinct_shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(_hashes(t, words)).view(np.int64) for t in texts])
 
-    @F.pandas_udf("double")
+def _forests(similarity: float):
+    """Links of whole lists (key, node, part, set as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, parts, sets in _runs(batches):
+            for at, n in zip(*_sizes(keys), strict=True):
+                own = nodes[at : at + n]
+                i, j = forest_links([np.frombuffer(x, np.int64) for x in sets[at : at + n]], parts[at : at + n], similarity)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], ["a", "b"])
+
+    return run
+
+
+def _long_links(long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) similar members that join what similar pairs of each list (key, node, part) join, parts being joined."""
+    rows = long.join(sets, "node").select("key", "node", "part", "t")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(similarity), "a bigint, b bigint")
+
+
+def _sets(docs: DataFrame, text: str, found: Column, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, t): sorted shingles, as bytes, of nodes (node, place) that are wanted; found says which row a place is."""
+
+    @F.pandas_udf("binary")
+    def shingle_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, words)).tobytes() for t in texts])
+
+    asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
+    rows = docs.join(asked, found).select("node", shingle_bytes(F.col(text).cast("string")).alias("t"))
+    return staged(rows.groupBy("node").agg(F.first("t").alias("t")), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets share enough shingles."""
+
+    @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        return pd.Series([s / max(len(x) + len(y) - s, 1) if len(x) or len(y) else 1.0 for x, y, s in zip(a, b, shared, strict=True)], dtype="float64")
-
-    if pairs.isEmpty():
-        return pairs
-    ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-    asked = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
-    rows = docs.join(asked, found).select("node", distinct_shingles(F.col(text).cast("string")).alias("t"))
-    sets = staged(rows.groupBy("node").agg(F.first("t").alias("t")), "shingles")
+        both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
+        return pd.Series([bool(_similar(np.intp(len(np.intersect1d(x, y, assume_unique=True))), len(x), len(y), similarity)) for x, y in both], dtype=bool)
+
     left, right = (sets.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb") >= similarity).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb")).select("a", "b")
+
+
+def _joined(nodes: DataFrame, met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes that join all similar pairs met in a list.
+
+    First the pairs of short lists; then, of the long ones, one list of each node, and last all those that still hold
+    several parts, in which pairs of one part are not compared.
+    """
+    links = staged(_verified(met.where("b is not null").select("a", "b").distinct(), sets, similarity), "links")
+    long = met.where("b is null").select("key", F.col("a").alias("node"))
+    if long.isEmpty():
+        return links
+    one = long.groupBy("node").agg(F.min("key").alias("key"))
+    for turn in range(2):
+        parted = _grouped(nodes.select("node"), links).withColumnRenamed("label", "part")
+        held = staged((long if turn else one).join(parted, "node").select("key", "node", "part"), "long")
+        mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        links = links.union(staged(_long_links(held.join(mixed, "key", "left_semi"), sets, similarity), "links"))
+    return links
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -376,25 +417,30 @@ def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one of smallest doc_id (rows without one come last).
 
-    Rows of the same set of `words`-word shingles are one group. The first row of each set stands against those of all
-    others: pairs that share positional bytes of 256-bit fingerprints are verified by the exact share of common
-    shingles, which has to be `similarity` or more; groups are joined by verified pairs only. All columns stay; rows that
-    agree in everything count as one; rows without words are one group.
+    Rows of the same set of `words`-word shingles are one group; sets are met by the first shingles of each, which every
+    two of `similarity` have in common (see above), and groups are joined by all pairs whose exact share of common
+    shingles is `similarity` or more. All columns stay; rows that agree in everything count as one; rows without words
+    are one group.
     """
     mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
     place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), mark.alias("mark")).alias("place")
     found = F.col(doc_id).eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
 
-    @F.pandas_udf("node bigint, wide array<bigint>")
+    common = _common_shingles(docs, text, words)
+
+    @F.pandas_udf("node bigint, prefix array<bigint>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"node": [set_digest(t, words) for t in texts], "wide": [wide_fingerprint(t) for t in texts]})
+        sets = [np.unique(_hashes(t, words)) for t in texts]
+        return pd.DataFrame({"node": [set_digest(x) for x in sets], "prefix": [_prefix(x, common, similarity).view(np.int64) for x in sets]})
 
-    own = docs.select(place, prints(F.col(text).cast("string")).alias("p")).select("place", "p.node", "p.wide")
+    own = docs.select(place, prints(F.col(text).cast("string")).alias("p")).select("place", "p.node", "p.prefix")
     own = staged(own, "fingerprints")
-    reps = own.groupBy("node").agg(F.min("place").alias("place"), F.min_by("wide", "place").alias("wide"))
-    reps = staged(reps, "groups")
-    pairs = staged(_similar_pairs(reps.withColumnRenamed("node", "label")), "pairs")
-    final = _grouped(reps, _verified(docs, text, found, reps, pairs, words, similarity))
+    nodes = own.groupBy("node").agg(F.min("place").alias("place"))
+    nodes = staged(nodes, "groups")
+    met = staged(_met(own.select("node", "prefix").dropDuplicates(["node"])), "lists")
+    wanted = met.select(F.col("a").alias("node")).union(met.where("b is not null").select("b")).distinct()
+    sets = _sets(docs, text, found, nodes, wanted, words)
+    final = _grouped(nodes, _joined(nodes, met, sets, similarity))
     best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")), "survivors")
     kept = docs.join(best, found, "left_semi")
     again = own.join(best, F.col("place.id").eqNullSafe(F.col("__id")) & (F.col("place.mark") == F.col("__mark")), "left_semi").count()

@@ -1,3 +1,5 @@
+import random
+
 from strandwork.llm import simhash
 
 DOCS = "doc_id bigint, text string"
@@ -24,3 +26,24 @@ def test_equal_fingerprints_of_unlike_texts_are_no_copies(spark):
     rows = [(d, " ".join([line] * 100 + [f"own{d}x{i}" for i in range(60)])) for d in range(2)]
     assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= 4
     assert kept(spark, rows) == survivors(rows) == {0, 1}
+
+
+def blocks_replaced(rng, base, length, texts):
+    """Texts of one base, each with a block of so many words replaced somewhere."""
+    out = []
+    for _ in range(texts):
+        at = rng.randrange(len(base) - length)
+        out.append(base[:at] + [f"n{rng.random()}" for _ in range(length)] + base[at + length :])
+    return out
+
+
+def test_appended_and_replaced_blocks_are_all_met(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in range(150):
+        base = [f"b{n}w{i}" for i in range(300)]
+        other = base + [f"a{n}x{i}" for i in range(73)] if n % 2 else blocks_replaced(rng, base, 28, 1)[0]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+    want = survivors(rows)
+    assert len(want) == 150
+    assert kept(spark, rows) == want
