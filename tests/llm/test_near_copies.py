@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from strandwork.llm import simhash
 
 DOCS = "doc_id bigint, text string"
@@ -47,3 +48,24 @@ def test_appended_and_replaced_blocks_are_all_met(spark):
     want = survivors(rows)
     assert len(want) == 150
     assert kept(spark, rows) == want
+
+
+def test_large_groups_of_variants_lose_no_link(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(n, " ".join(w)) for n, w in enumerate(blocks_replaced(rng, base, 30, 60))]
+    assert kept(spark, rows) == survivors(rows)
+
+
+def test_forest_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        base = np.arange(40)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(30, 40)], rng.integers(100, 130, rng.integers(0, 6))])) for _ in range(30)]
+        parts = rng.integers(0, 25, 30)
+        a, b = simhash.forest_links(sets, parts, 0.8)
+        every = [(i, j) for i in range(30) for j in range(i) if parts[i] == parts[j]]
+        near = [(i, j) for i in range(30) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(near)
+        labels = [simhash._forest(*np.array(e).reshape(-1, 2).T, 30) for e in (every + near, every + list(zip(a.tolist(), b.tolist(), strict=True)))]
+        assert (labels[0] == labels[1]).all()
