@@ -57,6 +57,13 @@ def test_large_groups_of_variants_lose_no_link(spark):
     assert kept(spark, rows) == survivors(rows)
 
 
+def test_links_of_later_members_count(spark):
+    base = [f"w{i}" for i in range(300)]
+    second = base[25:] + [f"x{i}" for i in range(25)]
+    rows = [(0, " ".join(base)), (1, " ".join(second)), (2, " ".join(second[25:] + [f"y{i}" for i in range(25)]))]
+    assert kept(spark, rows) == survivors(rows) == {0}
+
+
 def test_forest_links_join_what_all_pairs_join():
     rng = np.random.default_rng(1)
     for _ in range(30):
