@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Texts are lower-cased and cut into words at white space; a shingle is five words in a row. Wherever a document holds a
-shingle of a benchmark item, a window of the item's size is laid over the document in line with that shingle (pushed
-inside the document at its ends). Every window that can reach the similarity wanted holds such a shingle, so no other
-window needs a fingerprint. Windows and items get 64-bit SimHash fingerprints of their shingles. Multi-index blocks
+Texts are lower-cased and cut into words at white space; a shingle is five words in a row. Windows of an item's size are
+laid over a document at every start; a window that reaches the similarity wanted holds so many shingles of the item
+that counting them, by the positions at which the document holds one, says which windows need a fingerprint, whatever
+the order of the passage's parts. Windows and items get 64-bit SimHash fingerprints of their shingles. Multi-index blocks
 find all pairs within the radius: 23 bits spread over eight blocks leave one block with two differing bits at most, so
 items are posted under every block value within two bits and windows look up their eight blocks. Pairs within the
 radius are verified exactly: shingles weighted by their occurrences, sum of least over sum of greatest.
@@ -105,13 +105,24 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, wor
     radius = BLOCKS * (within + 1) - 1
     item = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") >= words))
     item = item.select("*", shingle_hashes(F.col("item_words"), words).alias("item_hashes"), F.size("item_words").alias("n_words"))
-    index = item.select("n_words", F.posexplode("item_hashes").alias("k", "s")).groupBy("s", "n_words").agg(F.collect_set("k").alias("ks"))
+    index = item.select("item_id", "n_words", F.explode("item_hashes").alias("s")).distinct()
     n_index = index.count()
 
     own = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w")).where(F.col("doc_id").isNotNull())
-    hits = own.select("doc_id", "w", F.posexplode_outer(shingle_hashes(F.col("w"), words)).alias("pos", "s")).join(_small(index, n_index), "s")
+    hits = own.select("doc_id", "w", F.posexplode(shingle_hashes(F.col("w"), words)).alias("pos", "s")).join(_small(index, n_index), "s")
     n, size = F.col("n_words"), F.size("w")
-    placed = hits.select("doc_id", "w", "n_words", F.explode(F.array_distinct(F.transform("ks", lambda k: F.greatest(F.lit(0), F.least(F.col("pos") - k, size - n))))).alias("start_word"))
+    hits = hits.groupBy("doc_id", F.xxhash64("w").alias("row"), "item_id", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first("w").alias("w"))
+    # Of x shingles of the window and y of the item, s (x + y) / (1 + s) have to be shared for a similarity of s.
+    need = F.ceil((F.least(n, size) + n - 2 * (words - 1)) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+    hits = hits.withColumn("need", need).where(F.size("at") >= F.col("need"))
+
+    def covering(i: Column) -> Column:  # starts of the windows that hold the positions from the i-th on, `need` of them
+        lo = F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - (n - words))
+        hi = F.least(F.get("at", i), F.greatest(F.lit(0), size - n))
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), covering)))
+    placed = hits.select("doc_id", "w", "n_words", F.explode(starts).alias("start_word"))
     windows = placed.select("doc_id", "n_words", "start_word", F.slice("w", F.col("start_word") + 1, n).alias("words")).groupBy("doc_id", "n_words", "start_word", F.xxhash64("words").alias("x")).agg(F.first("words").alias("words"))
 
     windows = windows.select("doc_id", "n_words", "start_word", "words", simhash(shingle_hashes(F.col("words"), words)).alias("fp"))

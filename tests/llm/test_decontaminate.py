@@ -78,3 +78,11 @@ def test_a_large_index_is_joined_by_shuffle(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x one two three four five six y", "a")], DOCS)
     monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     assert [(r.start_word, r.differing_bits, r.similarity) for r in S.leaks(docs, items).collect()] == [(1, 0, 1.0)]
+
+
+def test_passages_with_parts_moved_are_found(spark):
+    item = [f"w{i}" for i in range(100)]
+    docs = [(cut, " ".join([f"a{i}" for i in range(40)] + item[cut:] + item[:cut] + [f"z{i}" for i in range(40)])) for cut in (20, 30, 50)]
+    want = brute(docs, [(1, " ".join(item))])
+    assert [(d, s) for d, _, s, _ in want] == [(20, 40), (30, 40), (50, 40)]
+    assert found(spark, docs, [(1, " ".join(item))]) == want
