@@ -361,20 +361,34 @@ def _forests(similarity: float):
 
 def _long_links(long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) similar members that join what similar pairs of each list (key, node, part) join, parts being joined."""
-    rows = long.join(sets, "node").select("key", "node", "part", "t")
+    rows = long.join(sets.select("node", "t"), "node").select("key", "node", "part", "t")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(similarity), "a bigint, b bigint")
 
 
+def _counts(values: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall in each of 128 parts of the hashes; sums of the lesser counts bound what two share."""
+    return np.minimum(np.bincount((values >> np.uint64(57)).astype(np.int64), minlength=128), 65535).astype(np.uint16)
+
+
+def _may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """False only for counts of sets that cannot be similar; full counts say nothing."""
+    if max(x.max(), y.max()) == 65535:
+        return True
+    most = np.minimum(x, y).sum(dtype=np.int64)
+    return bool(_similar(most, x.sum(dtype=np.int64), y.sum(dtype=np.int64), similarity))
+
+
 def _sets(docs: DataFrame, text: str, found: Column, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, t): sorted shingles, as bytes, of nodes (node, place) that are wanted; found says which row a place is."""
+    """(node, t, counts): sorted shingles and their counts, as bytes, of nodes (node, place) that are wanted; found says which row a place is."""
 
-    @F.pandas_udf("binary")
-    def shingle_bytes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(_hashes(t, words)).tobytes() for t in texts])
+    @F.pandas_udf("t binary, counts binary")
+    def shingle_bytes(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(_hashes(t, words)) for t in texts]
+        return pd.DataFrame({"t": [x.tobytes() for x in sets], "counts": [_counts(x).tobytes() for x in sets]})
 
     asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
-    rows = docs.join(asked, found).select("node", shingle_bytes(F.col(text).cast("string")).alias("t"))
-    return staged(rows.groupBy("node").agg(F.first("t").alias("t")), "shingles")
+    rows = docs.join(asked, found).select("node", shingle_bytes(F.col(text).cast("string")).alias("s"))
+    return staged(rows.select("node", "s.t", "s.counts").dropDuplicates(["node"]), "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -385,8 +399,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
         return pd.Series([bool(_similar(np.intp(len(np.intersect1d(x, y, assume_unique=True))), len(x), len(y), similarity)) for x, y in both], dtype=bool)
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb")).select("a", "b")
+    @F.pandas_udf("boolean")
+    def possible(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_may_be_similar(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    for column, passes in (("counts", possible), ("t", similar)):
+        left, right = (sets.select(F.col("node").alias(c), F.col(column).alias(f"t{c}")) for c in "ab")
+        pairs = staged(pairs.join(left, "a").join(right, "b").where(passes("ta", "tb")).select("a", "b"), "pairs")
+    return pairs
 
 
 def _joined(nodes: DataFrame, met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
