@@ -45,9 +45,10 @@ def corpus():
     return rows
 
 
-def test_cover_holds_every_difference():
-    cover = S.difference_cover()
-    assert {int(d) for d in (cover[:, None] - cover[None, :]).ravel() % S.PERIOD} == set(range(S.PERIOD))
+def test_any_two_residues_meet_in_the_cover_after_a_shift():
+    for a in range(S.PERIOD):
+        for b in range(S.PERIOD):
+            assert any((a + k) % S.PERIOD in S.COVER and (b + k) % S.PERIOD in S.COVER for k in range(S.PERIOD))
 
 
 def test_anchors_follow_content_and_cover_all_starts(monkeypatch):
@@ -64,16 +65,37 @@ def test_anchors_follow_content_and_cover_all_starts(monkeypatch):
 
 
 def test_ranks_are_lexicographic():
-    text = np.random.default_rng(2).integers(0, 2, 4000).astype(np.uint8)
+    text = np.random.default_rng(2).integers(1, 3, 4002).astype(np.uint8)
     text[1000:2000] = text[:1000]
-    text = np.concatenate([text, np.zeros(S.DEPTH + 80, np.uint8)])
-    at = np.array([i for i in range(4032) if i % S.PERIOD in set(S.difference_cover().tolist())])
-    rank = S._rank_cover(text, at)
-    keys = [bytes(text[i : i + S.DEPTH]) for i in at if i + S.DEPTH <= 4000]
-    order = {k: n for n, k in enumerate(sorted(set(keys)))}
-    got = rank[: len(keys)]
-    want = np.array([order[k] for k in keys])
-    assert ((got[:, None] < got[None, :]) == (want[:, None] < want[None, :])).all()
+    text = np.concatenate([text, np.zeros(8, np.uint8)])
+    at = [i for i in range(4002) if i % S.PERIOD in S.COVER]
+    for depth in (5, 62, 398):
+        rank = S.rank_cover(text, depth)
+        keys = [bytes(text[i : i + depth]) for i in at]
+        order = sorted(keys)
+        first = {k: n for n, k in reversed(list(enumerate(order)))}
+        assert [int(r) - 1 for r in rank] == [first[k] for k in keys]
+
+
+def test_starts_of_any_residue_are_met(monkeypatch):
+    rng = random.Random(6)
+    base = bytes(rng.choice(b"abc") for _ in range(900))
+    slices = [bytes(rng.choice(b"xyz") for _ in range(n)) + base[n : n + 500] for n in range(30)] + [b"q" * 450, b"ab" * 300, base[:400], base[100:499]]
+    seen = Counter(s[i : i + 400] for s in slices for i in range(len(s) - 399))
+    want = [(n, i) for n, s in enumerate(slices) for i in range(len(s) - 399) if seen[s[i : i + 400]] > 1]
+    for bucket in (1 << 18, 100):
+        monkeypatch.setattr(S, "BUCKET", bucket)
+        number, start = S.repeated_starts(slices)
+        assert list(zip(number.tolist(), start.tolist(), strict=True)) == want
+
+
+def test_shared_grams_without_a_repeat(spark):
+    rng = random.Random(9)
+    rows = [(n, "".join(rng.choice("abcdefgh") for _ in range(450)) + "y" * 32 + "".join(rng.choice("abcdefgh") for _ in range(450))) for n in range(2)]
+    got = found(spark, rows)
+    assert got == brute(rows) and all(r[2] == 0 for r in got)
+    a = np.empty(0, np.int64)
+    assert all(len(x) == 0 for x in S._spans(a, a))
 
 
 def test_strings_against_brute_force(spark):
@@ -85,6 +107,7 @@ def test_crowded_grams_give_the_same(spark, monkeypatch):
     rows = corpus()
     monkeypatch.setattr(S, "BLOCK", 2000)
     assert found(spark, rows, most=1) == brute(rows)
+    assert found(spark, rows * 2, most=1) == brute(rows * 2)
 
 
 def test_other_lengths_and_empty_table(spark):
