@@ -7,10 +7,13 @@ any four shared positions contain a posted triple (20 of the 56 triples do). Lis
 Within a list the shared positional bytes of each pair are tallied, pairs below four are passed over, and the rest are
 verified by their differing bits. A list gives out a spanning forest of its links, not its pairs.
 
-`near_duplicates` reports these components. `deduplicated`, which wants all near copies by shingle similarity, does not
-use them, since few differing bits do not make two texts similar. It meets the distinct sets of shingles by prefix
-filtering: in one order of all shingles, two sets of similarity s share one among the first n - ceil(s n) + 1 of each,
-so lists of those hold every pair wanted. All links are verified by the exact share of common shingles.
+`near_duplicates` reports these components. `deduplicated` wants all near copies by shingle similarity, and few differing
+bits of a fingerprint do not make two texts similar, nor many make them unlike. There the positional bytes are those of
+the set of shingles: its hashes are dealt to as many parts as a power of two up to its size, and each part gives a byte.
+Sets that differ in d shingles differ in d bytes at most, so the similarity wanted guarantees a minimum of shared bytes;
+the tally is held against it before the exact share of common shingles verifies a pair. Lists are those of single
+shingles instead of bytes: in one order of all shingles, two sets of similarity s share one among the first
+n - ceil(s n) + 1 of each, so lists of those hold every pair wanted.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, staged, unused
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SHINGLE, SEED, RADIUS, SHARED = 4, 42, 4, 4
@@ -83,7 +86,10 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 def _shared_bytes(x: np.ndarray) -> np.ndarray:
     """How many of the eight positional bytes of each xor are zero."""
-    return (x[..., None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return 8 - _popcount(x & np.uint64(0x0101010101010101))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -103,15 +109,15 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _small_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within radius, in blocks of bounded size; shared bytes are tallied before bits are counted."""
+    """Index pairs within radius: shared bytes are tallied for all pairs, and pairs that have enough are verified."""
     left, right = [], []
     step = max(1, (1 << 20) // max(1, len(fps)))
     for at in range(0, len(fps), step):
-        x = fps[at : at + step, None] ^ fps[None, :]
-        i, j = np.nonzero(_popcount(x) <= radius)
-        keep = (i + at < j) & (_shared_bytes(x[i, j]) >= SHARED)
-        left.append(i[keep] + at)
-        right.append(j[keep])
+        x = fps[at : at + step, None] ^ fps[None, at:]
+        i, j = np.nonzero(np.triu(_shared_bytes(x) >= SHARED, 1))
+        near = _popcount(x[i, j]) <= radius
+        left.append(i[near] + at)
+        right.append(j[near] + at)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -119,25 +125,33 @@ def _dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what lies within four bits: both of such a pair have a neighbour at two bits in common.
 
     All who share a neighbour lie within four bits of one another, so a star over each neighbour loses no component.
-    Work is in proportion to the list; neighbours are taken in slices of their hash to bound memory.
+    Neighbours are taken slice by slice, by their value at a few of the bits in which the list differs, so memory is
+    bounded and work is in proportion to the list.
     """
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
     i, j = np.triu_indices(64, 1)
     masks = np.concatenate([[np.uint64(0)], one, one[i] | one[j]])
     differ = np.bitwise_or.reduce(fps ^ fps[0])
     masks = masks[(masks & ~differ) == 0]
-    slices = max(1, len(fps) * len(masks) >> 22)
+    open_bits = [b for b in range(64) if int(differ) >> b & 1][: max(0, (len(fps) * len(masks) >> 22).bit_length())]
+
+    def at_bits(x: np.ndarray) -> np.ndarray:
+        return sum(((x >> np.uint64(b) & np.uint64(1)).astype(np.int64) << n for n, b in enumerate(open_bits)), np.zeros(len(x), np.int64))
+
+    own, flipped = at_bits(fps), at_bits(masks)
+    order = np.argsort(own, kind="stable")
+    bounds = np.searchsorted(own[order], np.arange((1 << len(open_bits)) + 1))
+    kinds = {int(v): masks[flipped == v] for v in np.unique(flipped)}
     left, right = [], []
-    for s in range(slices):
+    for s in range(1 << len(open_bits)):
         found, at = [], []
-        for m in masks:
-            z = fps ^ m
-            own = np.nonzero((z * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(slices) == s)[0]
-            found.append(z[own])
-            at.append(own)
+        for v, some in kinds.items():
+            who = order[bounds[s ^ v] : bounds[(s ^ v) + 1]]
+            found.append((fps[who][:, None] ^ some[None, :]).ravel())
+            at.append(np.repeat(who, len(some)))
         z, who = np.concatenate(found), np.concatenate(at)
-        order = np.argsort(z, kind="stable")
-        z, who = z[order], who[order]
+        by = np.argsort(z, kind="stable")
+        z, who = z[by], who[by]
         same = z[1:] == z[:-1]
         left.append(who[:-1][same])
         right.append(who[1:][same])
@@ -178,7 +192,9 @@ def _lists(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             if not len(at):
                 continue
             x = f[at] ^ f[at + gap]
-            near = (_popcount(x) <= radius) & (_shared_bytes(x) >= SHARED)
+            enough = _shared_bytes(x) >= SHARED
+            at, x = at[enough], x[enough]
+            near = _popcount(x) <= radius
             if near.any():
                 yield emit(f[at[near]], f[at[near] + gap])
         for s, n in zip(starts[sizes > 9], sizes[sizes > 9], strict=True):
@@ -237,21 +253,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return own.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Members of a list up to which its pairs are taken at once.
-FEW = 4
+#: Members of a list up to which its pairs are taken at once; members of a block of a longer list; pairs that a block may
+#: give for each member before it is compared by sets.
+FEW, MEMBERS, EACH = 16, 4096, 16
 #: About so many rows are read for the common shingles; those in over so many of them count as common, so many at most.
 SAMPLE, OFTEN, COMMON = 5000, 4, 50_000
+#: Positional bytes of a set: as many as a power of two up to its shingles, and so many at least.
+LEAST_BYTES = 128
 
 
-def _common_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that many rows hold. They only set the order of shingles, so any choice is right."""
+def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many rows (mark, t) hold. They only set the order of shingles, so any choice is right."""
 
     @F.pandas_udf("array<bigint>")
     def distinct_shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(_hashes(t, words)).view(np.int64) for t in texts])
 
     every = max(1, docs.count() // SAMPLE)
-    some = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    some = docs.where(F.pmod("mark", F.lit(every)) == 0)
     often = some.select(F.explode(distinct_shingles("t")).alias("s")).groupBy("s").count().where(F.col("count") > OFTEN)
     top = often.orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
     return np.sort(top["s"].to_numpy(np.int64).view(np.uint64))
@@ -268,14 +287,26 @@ def _prefix(values: np.ndarray, common: np.ndarray, similarity: float) -> np.nda
     return np.concatenate([values[~late], values[late]])[: _prefix_length(len(values), similarity)]
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """(key, a, b): pairs of the lists of nodes (node, prefix), and members (b null) of lists of over FEW."""
-    posted = nodes.select(F.explode("prefix").alias("key"), "node")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_short_lists, "key bigint, a bigint, b bigint")
+def positional_bytes(values: np.ndarray) -> np.ndarray:
+    """A byte for each part of the hashes, set by the shingles of that part; sets that differ in d shingles differ in d bytes at most."""
+    bits = max(LEAST_BYTES.bit_length() - 1, (len(values) // 2).bit_length())
+    part = (values >> np.uint64(64 - bits)).astype(np.int64)
+    value = (values & np.uint64(255)).astype(np.float64)
+    return (np.bincount(part, value, 1 << bits).astype(np.int64) & 255).astype(np.uint8)
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Positional bytes (the last axis) as they are for `width` parts."""
+    return x.reshape(*x.shape[:-1], width, -1).sum(axis=-1, dtype=np.uint8)
+
+
+def _guaranteed(width: int, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """The least number of shared bytes of `width` that similar sets of x and y shingles have."""
+    return width - np.floor((x + y) * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of whole lists, from batches sorted by the key in column 0; a list may run over batches."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """The columns of whole lists, from batches sorted by the key in the first columns; a list may run over batches."""
     held: list[np.ndarray] | None = None
     for batch in chain(batches, (None,)):
         if batch is None:
@@ -284,29 +315,42 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             return
         new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        last = np.logical_and.reduce([c == c[-1] for c in held[:keys]]) if len(held[0]) else np.empty(0, bool)
+        whole = len(last) - int(last.sum())
         if whole:
             yield [c[:whole] for c in held]
             held = [c[whole:] for c in held]
 
 
-def _sizes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
-    return starts, np.diff(np.append(starts, len(keys)))
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start, and the end."""
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.concatenate([[0], np.nonzero(new)[0] + 1, [len(keys[0])]])
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, a, b): pairs of the lists of nodes (node, prefix), and members (b null) of lists of over FEW."""
+    posted = nodes.select(F.explode("prefix").alias("key"), "node")
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_short_lists, "key bigint, a bigint, b bigint")
 
 
 def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of lists of two to FEW; the members of longer ones, without a partner."""
+    """All pairs (without key) of lists of two to FEW; the members of longer ones, without a partner."""
     for keys, labels in _runs(batches):
-        size = np.repeat(_sizes(keys)[1], _sizes(keys)[1])
-        out = [(keys[size > FEW], labels[size > FEW], np.full(int((size > FEW).sum()), np.iinfo(np.int64).min))]
+        sizes = np.diff(_starts(keys))
+        size = np.repeat(sizes, sizes)
+        pairs = []
         for gap in range(1, FEW):
             at = np.nonzero((keys[gap:] == keys[:-gap]) & (size[gap:] <= FEW))[0]
-            out.append((keys[at], np.minimum(labels[at], labels[at + gap]), np.maximum(labels[at], labels[at + gap])))
-        k, a, b = map(np.concatenate, zip(*out, strict=True))
-        lone = np.concatenate([np.ones(len(out[0][0]), bool), np.zeros(len(k) - len(out[0][0]), bool)])
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b, mask=lone)], ["key", "a", "b"])
+            pairs.append(np.stack([np.minimum(labels[at], labels[at + gap]), np.maximum(labels[at], labels[at + gap])]))
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        long = size > FEW
+        n, m = int(long.sum()), len(a)
+        none = np.zeros(max(n, m), np.int64)
+        columns = [pa.array(np.concatenate([keys[long], none[:m]]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([labels[long], a]))]
+        columns.append(pa.array(np.concatenate([none[:n], b]), mask=np.arange(n + m) < n))
+        if n + m:
+            yield pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
 
 
 def _similar(shared: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
@@ -314,15 +358,16 @@ def _similar(shared: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float
     return shared / np.maximum(x + y - shared, 1) >= np.where(x + y > 0, similarity, 0)
 
 
-def forest_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def forest_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of similar sets that join, together with the parts given, all that similar pairs of these sets join.
 
     A set is compared with all those of other parts that have not been looked at before, so no similar pair is passed
-    over but one whose ends are joined already.
+    over but one whose ends are joined already. sides: only pairs of different sides are wanted.
     """
     sizes = np.array([len(x) for x in sets])
     order = np.argsort(sizes, kind="stable")
     sizes, part = sizes[order], np.unique(parts[order], return_inverse=True)[1]
+    side = np.arange(len(sets)) if sides is None else sides[order]
     values, tokens = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     held = np.zeros(len(values) + 1, np.int64)
@@ -337,7 +382,7 @@ def forest_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float) -
         sums = np.concatenate([[0], np.cumsum(held[tokens[starts[i + 1] : starts[end]]])])
         held[own] = 0
         shared = np.diff(sums[starts[i + 1 : end + 1] - starts[i + 1]])
-        for j in np.nonzero(_similar(shared, sizes[i + 1 : end], sizes[i], similarity))[0] + i + 1:
+        for j in np.nonzero(_similar(shared, sizes[i + 1 : end], sizes[i], similarity) & (side[i + 1 : end] != side[i]))[0] + i + 1:
             if part[j] != part[i]:
                 part[part == part[j]] = part[i]
                 left.append(order[i])
@@ -345,50 +390,106 @@ def forest_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float) -
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def tallied_pairs(prints: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray, similarity: float, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different parts whose positional bytes agree as often as similar sets guarantee."""
+    order = np.argsort(sizes, kind="stable")
+    size, part = sizes[order], parts[order]
+    side = np.arange(len(order)) if sides is None else sides[order]
+    widths = np.array([len(prints[i]) for i in order])
+    left, right = [], []
+    for width in np.unique(widths):
+        own = np.nonzero(widths == width)[0]
+        # Similar sets are within a factor of two, so partners have as many bytes or twice as many.
+        others = np.nonzero((widths == width) | (widths == 2 * width))[0]
+        table = np.stack([_folded(prints[order[j]], width) for j in others])
+        for i in own:
+            low = int(np.searchsorted(others, i + 1))
+            high = int(np.searchsorted(size[others], size[i] / similarity + 1e-6, "right"))
+            js = others[low:high]
+            js = js[(part[js] != part[i]) & (side[js] != side[i])]
+            if len(js):
+                tally = (table[np.searchsorted(others, js)] == prints[order[i]]).sum(axis=1)
+                js = js[tally >= _guaranteed(width, size[i], size[js], similarity)]
+                left.append(np.full(len(js), order[i]))
+                right.append(order[js])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    """lists (key, node, ...) with x, y and side: a list of over MEMBERS is cut into blocks, and every two blocks meet once.
+
+    (key, x, y) is what a task takes at a time. Where x and y differ, only pairs of different sides are wanted.
+    """
+    counts = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")).withColumnRenamed("key", "of")
+    dealt = lists.join(counts, F.col("key") == F.col("of")).drop("of").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other", "blocks")
+
+
+def _in_blocks(lists: DataFrame, columns: tuple[str, ...], run, schema: str) -> DataFrame:
+    keys = ["key", "x", "y"]
+    return lists.select(*keys, "side", "node", "part", *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _sides(x: np.ndarray, y: np.ndarray, side: np.ndarray) -> np.ndarray | None:
+    return None if x[0] == y[0] else side
+
+
 def _forests(similarity: float):
-    """Links of whole lists (key, node, part, set as bytes)."""
+    """Links of whole blocks (key, x, y, side, node, part, set as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, parts, sets in _runs(batches):
-            for at, n in zip(*_sizes(keys), strict=True):
-                own = nodes[at : at + n]
-                i, j = forest_links([np.frombuffer(x, np.int64) for x in sets[at : at + n]], parts[at : at + n], similarity)
+        for keys, x, y, side, nodes, parts, sets in _runs(batches, 3):
+            bounds = _starts(keys, x, y).tolist()
+            for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+                own = slice(at, end)
+                i, j = forest_links([np.frombuffer(t, np.int64) for t in sets[own]], parts[own], similarity, _sides(x[own], y[own], side[own]))
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own][i]), pa.array(nodes[own][j])], ["a", "b"])
 
     return run
 
 
 def _long_links(long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) similar members that join what similar pairs of each list (key, node, part) join, parts being joined."""
-    rows = long.join(sets.select("node", "t"), "node").select("key", "node", "part", "t")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(similarity), "a bigint, b bigint")
+    rows = _blocks(long).join(sets, "node")
+    return _in_blocks(rows, ("t",), _forests(similarity), "a bigint, b bigint").distinct()
 
 
-def _counts(values: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall in each of 128 parts of the hashes; sums of the lesser counts bound what two share."""
-    return np.minimum(np.bincount((values >> np.uint64(57)).astype(np.int64), minlength=128), 65535).astype(np.uint16)
+def _tallies(similarity: float):
+    """Pairs of whole blocks (key, x, y, side, node, part, n, bytes), or the key alone where there are too many of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, x, y, side, nodes, parts, sizes, prints in _runs(batches, 3):
+            bounds = _starts(keys, x, y).tolist()
+            for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+                own = slice(at, end)
+                i, j = tallied_pairs([np.frombuffer(t, np.uint8) for t in prints[own]], sizes[own], parts[own], similarity, _sides(x[own], y[own], side[own]))
+                if len(i) > EACH * (end - at):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[at]]), *[pa.array([None], pa.int64())] * 2], ["key", "a", "b"])
+                elif len(i):
+                    a, b = nodes[own][i], nodes[own][j]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
-def _may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """False only for counts of sets that cannot be similar; full counts say nothing."""
-    if max(x.max(), y.max()) == 65535:
-        return True
-    most = np.minimum(x, y).sum(dtype=np.int64)
-    return bool(_similar(most, x.sum(dtype=np.int64), y.sum(dtype=np.int64), similarity))
+    return run
 
 
-def _sets(docs: DataFrame, text: str, found: Column, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, t, counts): sorted shingles and their counts, as bytes, of nodes (node, place) that are wanted; found says which row a place is."""
+def _reaching(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose positional bytes agree as often as similar sets guarantee."""
 
-    @F.pandas_udf("t binary, counts binary")
-    def shingle_bytes(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(_hashes(t, words)) for t in texts]
-        return pd.DataFrame({"t": [x.tobytes() for x in sets], "counts": [_counts(x).tobytes() for x in sets]})
+    @F.pandas_udf("boolean")
+    def enough(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        out = []
+        for p, q, k, j in zip(x, y, n, m, strict=True):
+            p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+            width = min(len(p), len(q))
+            fits = min(k, j) >= similarity * max(k, j) - 1e-6
+            out.append(bool(fits and (_folded(p, width) == _folded(q, width)).sum() >= _guaranteed(width, k, j, similarity)))
+        return pd.Series(out, dtype=bool)
 
-    asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
-    rows = docs.join(asked, found).select("node", shingle_bytes(F.col(text).cast("string")).alias("s"))
-    return staged(rows.select("node", "s.t", "s.counts").dropDuplicates(["node"]), "shingles")
+    left, right = (nodes.select(F.col("node").alias(c), F.col("bytes").alias(f"bytes_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(enough("bytes_a", "bytes_b", "n_a", "n_b")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -399,39 +500,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
         return pd.Series([bool(_similar(np.intp(len(np.intersect1d(x, y, assume_unique=True))), len(x), len(y), similarity)) for x, y in both], dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def possible(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_may_be_similar(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+    left, right = (sets.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb")).select("a", "b")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, t): sorted shingles, as bytes, of the nodes (node, place) that are wanted; docs: (id, mark, t)."""
 
-    for column, passes in (("counts", possible), ("t", similar)):
-        left, right = (sets.select(F.col("node").alias(c), F.col(column).alias(f"t{c}")) for c in "ab")
-        pairs = staged(pairs.join(left, "a").join(right, "b").where(passes("ta", "tb")).select("a", "b"), "pairs")
-    return pairs
+    @F.pandas_udf("binary")
+    def shingle_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, words)).tobytes() for t in texts])
 
+    asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("of"), F.col("place.mark").alias("marked"))
+    rows = docs.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
+    return staged(rows.select("node", shingle_bytes("t").alias("t")).dropDuplicates(["node"]), "shingles")
 
-def _joined(nodes: DataFrame, met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes that join all similar pairs met in a list.
 
-    First the pairs of short lists; then, of the long ones, one list of each node, and last all those that still hold
-    several parts, in which pairs of one part are not compared.
+def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes that join all similar pairs that met: pairs (a, b), and any two of a list of long (key, node).
+
+    First the pairs are verified. Then each node of a long list is compared in one of its lists, which joins most of
+    what belongs together. Last all lists that still hold several parts tally the pairs of different parts; those that
+    reach the guaranteed minimum are verified. A block with very many such pairs is compared by sets instead.
     """
-    links = staged(_verified(met.where("b is not null").select("a", "b").distinct(), sets, similarity), "links")
-    long = met.where("b is null").select("key", F.col("a").alias("node"))
+    links = staged(_verified(pairs, sets, similarity), "links")
     if long.isEmpty():
         return links
-    one = long.groupBy("node").agg(F.min("key").alias("key"))
-    for turn in range(2):
-        parted = _grouped(nodes.select("node"), links).withColumnRenamed("label", "part")
-        held = staged((long if turn else one).join(parted, "node").select("key", "node", "part"), "long")
-        mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-        links = links.union(staged(_long_links(held.join(mixed, "key", "left_semi"), sets, similarity), "links"))
-    return links
+
+    def held(lists: DataFrame) -> DataFrame:
+        rows = staged(lists.join(_grouped(nodes.select("node"), links).withColumnRenamed("label", "part"), "node").select("key", "node", "part"), "long")
+        mixed = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        return rows.join(mixed, "key", "left_semi")
+
+    links = links.union(staged(_long_links(held(long.groupBy("node").agg(F.min("key").alias("key"))), sets, similarity), "links"))
+    rest = staged(held(long), "mixed")
+    printed = _blocks(rest).join(nodes.select("node", "n", "bytes"), "node")
+    found = staged(_in_blocks(printed, ("n", "bytes"), _tallies(similarity), "key bigint, a bigint, b bigint").distinct(), "tallied")
+    links = links.union(staged(_verified(found.where("a is not null").select("a", "b"), sets, similarity), "links"))
+    many = found.where("a is null").select("key")
+    return links if many.isEmpty() else links.union(staged(_long_links(rest.join(many, "key", "left_semi"), sets, similarity), "links"))
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes (node, ...) with `label`, the smallest node of the component that the links make."""
-    parts = connected_components(links).select(F.col("node").alias("__node"), F.col("label").alias("__label"))
-    return nodes.join(parts, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("__label", "node")).drop("__node", "__label")
+    parts = connected_components(links).withColumnRenamed("node", "of")
+    return nodes.join(parts, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node")).drop("of")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -439,29 +552,31 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
 
     Rows of the same set of `words`-word shingles are one group; sets are met by the first shingles of each, which every
     two of `similarity` have in common (see above), and groups are joined by all pairs whose exact share of common
-    shingles is `similarity` or more. All columns stay; rows that agree in everything count as one; rows without words
-    are one group.
+    shingles is `similarity` or more. A null text counts as empty; texts without words are one group, long ones count
+    whole. All columns stay, whatever their names; rows that agree in everything count as one, and of rows with one
+    doc_id the one of least hash comes first. An empty table stays empty.
     """
-    mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), mark.alias("mark")).alias("place")
-    found = F.col(doc_id).eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
+    mark = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    own_text = docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.col(text).cast("string").alias("t"))
+    common = _common_shingles(own_text, words)
 
-    common = _common_shingles(docs, text, words)
-
-    @F.pandas_udf("node bigint, prefix array<bigint>")
+    @F.pandas_udf("node bigint, n int, bytes binary, prefix array<bigint>")
     def prints(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(_hashes(t, words)) for t in texts]
-        return pd.DataFrame({"node": [set_digest(x) for x in sets], "prefix": [_prefix(x, common, similarity).view(np.int64) for x in sets]})
+        first = [_prefix(x, common, similarity).view(np.int64) for x in sets]
+        return pd.DataFrame({"node": [set_digest(x) for x in sets], "n": [len(x) for x in sets], "bytes": [positional_bytes(x).tobytes() for x in sets], "prefix": first})
 
-    own = docs.select(place, prints(F.col(text).cast("string")).alias("p")).select("place", "p.node", "p.prefix")
-    own = staged(own, "fingerprints")
-    nodes = own.groupBy("node").agg(F.min("place").alias("place"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "mark").alias("place")
+    own = staged(own_text.select(place, prints("t").alias("p")).select("place", "p.*"), "fingerprints")
+    nodes = own.groupBy("node").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("prefix").alias("prefix"))
     nodes = staged(nodes, "groups")
-    met = staged(_met(own.select("node", "prefix").dropDuplicates(["node"])), "lists")
-    wanted = met.select(F.col("a").alias("node")).union(met.where("b is not null").select("b")).distinct()
-    sets = _sets(docs, text, found, nodes, wanted, words)
-    final = _grouped(nodes, _joined(nodes, met, sets, similarity))
-    best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")), "survivors")
-    kept = docs.join(best, found, "left_semi")
-    again = own.join(best, F.col("place.id").eqNullSafe(F.col("__id")) & (F.col("place.mark") == F.col("__mark")), "left_semi").count()
+    met = staged(_met(nodes), "lists")
+    pairs = staged(_reaching(met.where("b is not null").select("a", "b").distinct(), nodes, similarity), "pairs")
+    long = met.where("b is null").select("key", F.col("a").alias("node"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
+    final = _grouped(nodes, _joined(nodes, pairs, long, _sets(own_text, nodes, wanted, words), similarity))
+    best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select("place.id", "place.mark"), "survivors")
+    of, marked = unused(docs, "of", "marked")
+    kept = docs.join(best.toDF(of, marked), docs[doc_id].eqNullSafe(F.col(of)) & (mark == F.col(marked)), "left_semi")
+    again = own.select("place.*").join(best.toDF("of", "marked"), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")), "left_semi").count()
     return kept.dropDuplicates() if again > best.count() else kept

@@ -76,3 +76,39 @@ def test_forest_links_join_what_all_pairs_join():
         assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(near)
         labels = [simhash._forest(*np.array(e).reshape(-1, 2).T, 30) for e in (every + near, every + list(zip(a.tolist(), b.tolist(), strict=True)))]
         assert (labels[0] == labels[1]).all()
+
+
+def test_positional_bytes_guarantee_a_minimum():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 90, 300, 2000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            drop = rng.integers(0, n // 9 + 1)
+            y = np.unique(np.concatenate([x[drop:], rng.integers(0, 1 << 64, drop, dtype=np.uint64)]))
+            p, q = simhash.positional_bytes(x), simhash.positional_bytes(y)
+            width = min(len(p), len(q))
+            agree = (simhash._folded(p, width) == simhash._folded(q, width)).sum()
+            assert agree >= width - len(np.setxor1d(x, y))
+            if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+                assert agree >= simhash._guaranteed(width, len(x), len(y), 0.8)
+
+
+def test_tallies_pass_over_no_similar_pair():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(150, 400)], rng.integers(0, 1 << 64, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([base, rng.integers(0, 1 << 64, 1600 + k, dtype=np.uint64)])) for k in range(5)]
+    sizes, parts = np.array([len(x) for x in sets]), np.arange(len(sets))
+    a, b = simhash.tallied_pairs([simhash.positional_bytes(x) for x in sets], sizes, parts, 0.8)
+    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert near <= got and len(near) > 20
+
+
+def test_blocks_of_long_lists_lose_no_link(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(n, " ".join(w)) for n, w in enumerate(blocks_replaced(rng, base, 30, 60))]
+    monkeypatch.setattr(simhash, "MEMBERS", 7)
+    monkeypatch.setattr(simhash, "EACH", 1)
+    assert kept(spark, rows) == survivors(rows)

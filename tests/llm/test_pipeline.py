@@ -3,23 +3,11 @@ from strandwork.llm import simhash
 from tokenizers import Tokenizer
 
 from . import test_decontaminate, test_secret_scan
+from .test_near_copies import survivors
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def survivors(rows):
-    """The first document of each group that similarities of 0.8 of five-word shingles, or four bits, make, by all pairs."""
-    sets = {i: set(simhash._hashes(t, 5).tolist()) for i, t in rows}
-    fps = {i: simhash.fingerprint(t, 5) for i, t in rows}
-    least = {i: i for i in sets}
-    for i in sorted(sets):
-        for j in sorted(sets):
-            if i < j and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 4):
-                a, b = sorted((least[i], least[j]))
-                least = {k: a if v == b else v for k, v in least.items()}
-    return {i for i in sets if least[i] == i}
-
-
 def test_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -52,3 +40,11 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_columns_named_like_inner_ones_are_harmless(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "en", "a", 1, 5, 6, 7, 8), (2, words + " x", "en", "a", 1, 5, 6, 7, 8), (3, "some other words stand here", "en", "a", 1, 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, DOCS + ", node int, of int, marked int, `place.id` int")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]

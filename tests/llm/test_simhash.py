@@ -64,3 +64,8 @@ def test_on_the_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(tuple(r) for r in S.near_duplicates(docs).collect())
     assert got == components([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_shared_bytes_are_counted():
+    x = np.array([0, 1, 0x0100, 0xFF00FF00FF00FF00, 0x8040201008040201, 1 << 63], np.uint64)
+    assert S._shared_bytes(x).tolist() == [8, 7, 7, 4, 0, 7]
