@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 TREES, DEPTH, BUDGET, K = 64, 24, 0.75, 20
-#: Times k that the ranges of a query hold at least; blocks with no more rows are searched whole.
+#: Times k that the ranges of a query hold at least, counted with repeats.
 FEW = 30
 BLOCK_ROWS, CHUNK_ROWS = 4096, 16384
 
@@ -74,7 +74,7 @@ def _answer(rows: pd.DataFrame, queries: pd.DataFrame, budget: float, k: int, tr
     asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
     forest = Forest(vectors, hyperplanes(vectors.shape[1] + 1, trees, depth), trees, depth)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    need = trees * len(ids) if len(ids) <= FEW * k else max(FEW * k + trees, int(budget * len(ids)))
+    need = max(FEW * k, int(budget * len(ids)))
     for at in range(0, len(asked), 512):
         part = asked[at : at + 512]
         for i, found in enumerate(forest.candidates(part, need)):

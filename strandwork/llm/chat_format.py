@@ -4,8 +4,9 @@ A conversation is rendered once for each participant. That speaker's messages ar
 users, roles of `context` (such as the system prompt) are nobody's perspective and keep their place. The mask holds the
 spans of code points, end exclusive, that a model is trained on: the assistant's texts with their closing mark.
 
-Long conversations are cut into parts of `span` turn numbers (turn 0 to span - 1, and so on), so that no row and no
-group grows with the conversation; the parts of a conversation and speaker, joined in order, are the whole rendering.
+A conversation is rendered whole. Where some are too long for a row, `span` cuts them into parts of so many turn numbers
+(turn 0 to span - 1, and so on), so that no row and no group grows with the conversation; the parts of a conversation and
+speaker, joined in order, are the whole rendering.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 # The marks of the format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTEXT = ("system",)
-SPAN = 64
 UNNAMED = "unknown"
 
 
@@ -39,21 +39,21 @@ def _mask(segments: Column) -> Column:
     return F.aggregate(segments, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
-def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context: tuple[str, ...] = CONTEXT, span: int = SPAN) -> DataFrame:
+def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context: tuple[str, ...] = CONTEXT, span: int | None = None) -> DataFrame:
     """(conv_id, speaker, part, n_messages, rendered, mask) for every participant and part of every conversation.
 
-    Messages come by turn; those that share a turn by role, then text; rows that agree in all four are one message.
-    Messages without a turn form a last part of their own (part null). A null role is the speaker "unknown", a null
+    Messages come by turn; those that share a turn by role, then text; rows that agree in all four are as many messages.
+    Messages without a turn come first, or with `span` form a part of their own (part null). Without `span` part is 0. A null role is the speaker "unknown", a null
     text is empty, and rows without conv_id are one conversation without a name. A conversation that holds context
-    only has no participant and no row. Only the named columns are read; empty tables give an empty result.
+    only has no participant and no row; very long texts stay whole. Only the named columns are read; empty tables give an empty result.
     """
     own = turns.select(
         F.col(conv_id).alias("conv_id"),
-        F.floor(F.col(turn) / span).cast("bigint").alias("part"),
+        (F.floor(F.col(turn) / span) if span else F.lit(0)).cast("bigint").alias("part"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit(UNNAMED)).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ).dropDuplicates()
+    )
     parts = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     speakers = own.where(~F.col("role").isin(*context)).select(F.col("conv_id").alias("__conv"), F.col("role").alias("speaker")).distinct()
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv")))

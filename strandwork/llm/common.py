@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,8 +42,9 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             drop_path(spark, path)
-        except Exception:  # the session may be gone by now
-            return
+        except Exception:  # the session may be gone by now; a local folder can be removed without it
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -61,10 +65,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """(node, label) of every node of the undirected edges, label being the smallest node reachable.
 
-    Alternating large-star and small-star rounds; every round is staged, nothing is collected but two sums. Self
+    Alternating large-star and small-star rounds, of which a graph takes about the logarithm of its size; every round is
+    staged, nothing is collected but two sums. Self
     edges and repeated edges are harmless; null ends are dropped; no edges give an empty table.
     """
     x, y = F.col(a), F.col(b)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, unused
 
 FEATURES, ORDERS = 1 << 15, 3
 #: Labelled documents that the model is fitted on at most, about (a hash of doc_id chooses them).
@@ -167,7 +167,11 @@ def language_report(docs: DataFrame, text: str = "text", lang: str = "lang", doc
 
 
 def known_language(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the rows in which no language is found; all columns stay as they are."""
+    """docs without the rows in which no language is found; all columns stay as they are, whatever their names.
+
+    Rows with a null text or without letters go, as do all rows if there is nothing to learn from; repeated rows are each
+    judged, and an empty table stays empty.
+    """
     model = fit(docs, text, lang, doc_id, train=~held_out(doc_id))
-    kept = docs.withColumn("__language", predicted(docs, model, text))
-    return kept.where(F.col("__language.lang_pred") != UNKNOWN).select(*[docs[c] for c in docs.columns])
+    name = unused(docs, "language")[0]
+    return docs.withColumn(name, predicted(docs, model, text)["lang_pred"]).where(F.col(name) != UNKNOWN).drop(name)

@@ -44,7 +44,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat_format.perspectives(_table(spark, sf_dir, "conversations"))
+    found = chat_format.perspectives(_table(spark, sf_dir, "conversations"), span=64)
     return found.withColumn("mask", chat_format.mask_text(F.col("mask")))
 
 
@@ -97,26 +97,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Windows in line with every shared shingle, compared by occurrences; fingerprints only pass windows over.
+#: Every window of an item's size that holds a shingle of it, compared by occurrences; no fingerprints.
 DECONTAMINATION_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS bw FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT doc_id, w, unnest(range(len(w) - 4)) AS pos FROM d WHERE len(w) >= 5),
-bs AS (SELECT item_id, bw, len(bw) AS n, unnest(range(len(bw) - 4)) AS k FROM b WHERE len(bw) >= 5),
-p AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - k, len(w) - n)) AS st, w, bw FROM ds JOIN bs ON array_to_string(w[pos + 1 : pos + 5], ' ') = array_to_string(bw[k + 1 : k + 5], ' ')),
-win AS (SELECT doc_id, item_id, n, st, w[st + 1 : st + n] AS ww, bw FROM p),
-wi AS (SELECT *, unnest(range(len(ww) - 4)) AS i FROM win),
-a AS (SELECT doc_id, item_id, n, st, array_to_string(ww[i + 1 : i + 5], ' ') AS s, count(*) AS c FROM wi GROUP BY ALL),
-bc AS (SELECT item_id, array_to_string(bw[k + 1 : k + 5], ' ') AS s, count(*) AS c FROM bs GROUP BY ALL),
-lo AS (SELECT a.doc_id, a.item_id, a.n, a.st, sum(least(a.c, bc.c)) AS lo FROM a JOIN bc ON a.item_id = bc.item_id AND a.s = bc.s GROUP BY ALL),
-ta AS (SELECT doc_id, item_id, n, st, sum(c) AS t FROM a GROUP BY ALL),
-r AS (SELECT lo.doc_id, lo.item_id, lo.n, lo.st, lo.lo::DOUBLE / (ta.t + (lo.n - 4) - lo.lo)::DOUBLE AS similarity FROM lo JOIN ta USING (doc_id, item_id, n, st)),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS rn FROM r WHERE similarity >= 0.8)
+b AS (SELECT DISTINCT item_id, bw, len(bw) AS n, least(5, len(bw)) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS bw FROM benchmark WHERE item_id IS NOT NULL) WHERE len(bw) > 0),
+ks AS (SELECT DISTINCT k FROM b),
+ds AS (SELECT DISTINCT doc_id, w, k, unnest(range(greatest(0, len(w) - k + 1))) AS pos FROM d, ks),
+dt AS (SELECT doc_id, w, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS s FROM ds),
+bs AS (SELECT item_id, bw, n, k, array_to_string(bw[j + 1 : j + k], ' ') AS s FROM (SELECT *, unnest(range(n - k + 1)) AS j FROM b)),
+bc AS (SELECT item_id, bw, n, k, s, count(*) AS c FROM bs GROUP BY ALL),
+hit AS (SELECT doc_id, w, item_id, bw, n, k, pos, s, c FROM dt JOIN bc USING (k, s)),
+st AS (SELECT DISTINCT doc_id, w, item_id, bw, n, k, unnest(range(greatest(0, pos + k - n), least(pos, greatest(0, len(w) - n)) + 1)) AS st FROM hit),
+a AS (SELECT st.doc_id, st.w, st.item_id, st.bw, st.n, st.k, st.st, hit.s, hit.c, count(*) AS x FROM st JOIN hit ON st.doc_id = hit.doc_id AND st.w = hit.w AND st.item_id = hit.item_id AND st.bw = hit.bw AND hit.pos BETWEEN st.st AND st.st + st.n - st.k GROUP BY ALL),
+r AS (SELECT doc_id, item_id, n, st, sum(least(x, c))::DOUBLE AS lo, ((least(n, len(w)) - k + 1) + (n - k + 1))::DOUBLE AS t FROM a GROUP BY doc_id, w, item_id, bw, n, k, st),
+q AS (SELECT doc_id, item_id, n, st, lo / (t - lo) AS similarity FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS rn FROM q WHERE similarity >= 0.8)
 SELECT doc_id, item_id, st::BIGINT AS start_word, n::BIGINT AS n_words, similarity FROM k WHERE rn = 1
 """
 
 PERSPECTIVE_SQL = r"""
-WITH own AS (SELECT DISTINCT conv_id, floor(turn / 64)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH own AS (SELECT conv_id, floor(turn / 64)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 sp AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM own WHERE role <> 'system'),
 seg AS (SELECT conv_id, speaker, part, turn, role, text, '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' AS body, role = speaker AS own FROM own JOIN sp ON conv_id IS NOT DISTINCT FROM c),
 pos AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM seg)

@@ -421,8 +421,9 @@ def _blocks(lists: DataFrame) -> DataFrame:
 
     (key, x, y) is what a task takes at a time. Where x and y differ, only pairs of different sides are wanted.
     """
-    counts = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")).withColumnRenamed("key", "of")
-    dealt = lists.join(counts, F.col("key") == F.col("of")).drop("of").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    counts = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("key", "of")
+    dealt = lists.join(counts, F.col("key") == F.col("of"), "left").drop("of").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return both.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other", "blocks")
 
@@ -504,8 +505,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb")).select("a", "b")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, t): sorted shingles, as bytes, of the nodes (node, place) that are wanted; docs: (id, mark, t)."""
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(node, t): sorted shingles, as bytes, of the nodes (node, place) that are wanted; docs: (id, mark, t), with repeated rows or without."""
 
     @F.pandas_udf("binary")
     def shingle_bytes(texts: pd.Series) -> pd.Series:
@@ -513,7 +514,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
 
     asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("of"), F.col("place.mark").alias("marked"))
     rows = docs.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
-    return staged(rows.select("node", shingle_bytes("t").alias("t")).dropDuplicates(["node"]), "shingles")
+    found = rows.select("node", shingle_bytes("t").alias("t"))
+    return staged(found.dropDuplicates(["node"]) if repeated else found, "shingles")
 
 
 def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -574,9 +576,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     pairs = staged(_reaching(met.where("b is not null").select("a", "b").distinct(), nodes, similarity), "pairs")
     long = met.where("b is null").select("key", F.col("a").alias("node"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
-    final = _grouped(nodes, _joined(nodes, pairs, long, _sets(own_text, nodes, wanted, words), similarity))
+    repeated = own.select("place").distinct().count() < own.count()
+    final = _grouped(nodes, _joined(nodes, pairs, long, _sets(own_text, nodes, wanted, words, repeated), similarity))
     best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select("place.id", "place.mark"), "survivors")
     of, marked = unused(docs, "of", "marked")
     kept = docs.join(best.toDF(of, marked), docs[doc_id].eqNullSafe(F.col(of)) & (mark == F.col(marked)), "left_semi")
-    again = own.select("place.*").join(best.toDF("of", "marked"), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")), "left_semi").count()
-    return kept.dropDuplicates() if again > best.count() else kept
+    return kept.dropDuplicates() if repeated else kept

@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text: after each byte it is doubled and th
 bits depend on the last 32 bytes. Where its highest bits are zero, and at least `least` bytes after the last cut, the
 text is cut (and at the latest after `most` bytes). Cuts follow content, so they fall in line again soon after an
 insertion. Chunks are deduplicated by a 128-bit digest: the first chunk of a digest in input order stays, all later ones
-are repeats. Repeats are removed where they make up a run of neighbouring chunks of at least `run` bytes, which lets
-chance repeats of single short chunks be.
+are repeats, and neighbouring ones make a run. Chunks of 32 bytes and up, 64 on average, hardly repeat by chance, and a
+passage of some 200 bytes holds whole ones; `run` can ask for runs of so many bytes at least.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Cut bits (a cut every 2 ** BITS bytes after the least size), least and most bytes of a chunk, least bytes of a run.
-BITS, LEAST, MOST, RUN = 4, 16, 1024, 100
+BITS, LEAST, MOST, RUN = 5, 32, 1024, 0
 WINDOW = 32
 
 
@@ -100,16 +100,14 @@ def chunks(docs: DataFrame, text: str = "text", bits: int = BITS, least: int = L
 
 def _runs(found: Column, run: int) -> Column:
     """Neighbouring chunks (sorted structs of start and size) put together; runs of under `run` bytes left out."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc: Column, c: Column) -> Column:
-        end = c["start"] + c["size"]
-        joined = acc["end"] == c["start"]
-        whole = F.when(acc["end"] - acc["start"] >= run, F.concat(acc["out"], F.array(F.struct(acc["start"], acc["end"])))).otherwise(acc["out"])
-        return F.struct(F.when(joined, acc["start"]).otherwise(c["start"]).alias("start"), end.alias("end"), F.when(joined, acc["out"]).otherwise(whole).alias("out"))
+    def end(c: Column) -> Column:
+        return c["start"] + c["size"]
 
-    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), empty.alias("out"))
-    return F.aggregate(found, start, step, lambda acc: F.when(acc["end"] - acc["start"] >= run, F.concat(acc["out"], F.array(F.struct(acc["start"], acc["end"])))).otherwise(acc["out"]))
+    first = F.filter(found, lambda c, i: F.coalesce(end(F.get(found, i - 1)) != c["start"], F.lit(True)))
+    last = F.filter(found, lambda c, i: F.coalesce(F.get(found, i + 1)["start"] != end(c), F.lit(True)))
+    whole = F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), end(b).alias("end")))
+    return F.filter(whole, lambda r: r["end"] - r["start"] >= run) if run else whole
 
 
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN, **sizes: int) -> DataFrame:
@@ -117,10 +115,10 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: in
 
     n_repeated counts the bytes in runs of chunks that occur elsewhere too, the first occurrences included; spans are the
     runs of bytes removed, as array<struct<start,end>>. A null text is empty. Of repeated rows the first in input order keeps
-    its text. Other columns are not read; an empty table gives an empty result. docs is read more than once and its
+    its text. Very long texts are cut block by block. Other columns are not read; an empty table gives an empty result. docs is read more than once and its
     rows are numbered as they come, so it must be a table or something else that comes in the same order each time.
     """
-    own = chunks(docs, text, **sizes)
+    own = staged(chunks(docs, text, **sizes), "chunks")
     shared = own.groupBy("hi", "lo").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Staged, so that the join has plain shuffles on both sides, of which large partitions can be split.
     shared = staged(shared.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "first"), "shared")

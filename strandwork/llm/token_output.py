@@ -124,9 +124,11 @@ def _numbered(table: DataFrame, per_shard: int, key: int) -> tuple[DataFrame, in
     sent = table.sparkSession.sparkContext.broadcast(before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value.get(TaskContext.get().partitionId(), 0)
+        number = sent.value.get(TaskContext.get().partitionId())
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            if number is None and len(batch):
+                raise RuntimeError("the table was split in another way than when it was counted")
             for low in range(0, len(batch), 4096):
                 part = batch.slice(low, 4096)
                 slot = slots(np.arange(number, number + len(part)), total, key)
@@ -193,6 +195,9 @@ def materialised(docs: DataFrame, out: str, path: str, end: int, key: int = 2024
     manifest = dealt.mapInArrow(write, f"slot bigint, shard int, offset bigint, doc_id {kind}, first_token bigint, n_tokens int, n_docs int")
     listed = shared_path(spark, "manifest")
     manifest.write.parquet(listed)
+    seen = spark.read.schema(manifest.schema).parquet(listed).agg(F.count(F.lit(1)).alias("n"), F.sum("slot").alias("s"), F.max("slot").alias("m")).first()
+    if (seen.n, seen.s or 0) != (total, total * (total - 1) // 2) or (seen.m or 0) >= max(total, 1):
+        raise RuntimeError("slots were not dealt out one to a sequence; the table must come in the same order each time")
     drop_path(spark, held)
     return spark.read.schema(manifest.schema).parquet(listed)
 

@@ -14,13 +14,13 @@ def brute(rows, asked, k):
     return sorted(out)
 
 
-def test_small_tables_are_searched_whole(spark):
+def test_vectors_that_take_part(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
     rows += [(100 + i, rows[0][1]) for i in range(30)] + [(200, None), (201, [0.0] * 4), (202, [1.0, None, 1.0, 1.0]), (203, [float("nan")] * 4), (204, [float("inf"), 0.0, 0.0, 0.0]), (205, []), (None, [1.0] * 4), (5, rows[5][1])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS)
     asked = {0, 20, 100, 200, 201, 203}
-    got = S.nearest(frame, frame.where(frame.vec_id.isin(*asked)), k=5, block_rows=25).collect()
+    got = S.nearest(frame, frame.where(frame.vec_id.isin(*asked)), k=5, block_rows=25, budget=float(S.TREES)).collect()
     want = brute(rows, asked, 5)
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [w[:3] for w in want]
     assert np.allclose([r.score for r in sorted(got)], [w[3] for w in want], atol=1e-12)
@@ -56,3 +56,20 @@ def test_recall_on_the_table(spark):
     want = {(q, v) for q, _, v, _ in brute(rows, {i for i, _ in rows if i % 20 == 0}, 20)}
     got = {(r.query_id, r.vec_id) for r in S.nearest(frame, frame.where("vec_id % 20 = 0")).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_recall_of_the_forest_beyond_its_least_ranges(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 32))
+    clustered = centres[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 32))
+    for vectors, budget, least in ((rng.normal(size=(3000, 32)), S.BUDGET, 0.9), (clustered, 0.2, 0.9)):
+        forest = S.Forest(vectors, S.hyperplanes(33))
+        hits = scored = 0
+        for q, found in enumerate(forest.candidates(vectors[:100], int(budget * 3000))):
+            scores = vectors @ vectors[q]
+            scores[q] = -np.inf
+            best = np.argsort(-scores)[:20]
+            hits += len(np.intersect1d(best, found))
+            scored += len(found)
+        assert hits >= least * 100 * 20
+        assert scored < (0.7 if budget == S.BUDGET else 0.25) * 100 * 3000, scored

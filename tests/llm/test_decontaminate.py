@@ -8,8 +8,8 @@ from strandwork.llm import decontaminate as S
 DOCS, ITEMS = "doc_id bigint, text string, words string", "item_id bigint, text string"
 
 
-def shingles(words):
-    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+def shingles(words, k):
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
 def brute(docs, items):
@@ -19,11 +19,12 @@ def brute(docs, items):
         w = (text or "").lower().split()
         for i, item in items:
             b = (item or "").lower().split()
-            if d is None or i is None or len(b) < 5 or len(w) < 5:
+            k = min(5, len(b))
+            if d is None or i is None or not b or len(w) < k:
                 continue
-            want = shingles(b)
+            want = shingles(b, k)
             for s in range(max(1, len(w) - len(b) + 1)):
-                have = shingles(w[s : s + len(b)])
+                have = shingles(w[s : s + len(b)], k)
                 similar = sum((have & want).values()) / sum((have | want).values())
                 if similar >= 0.8:
                     out[d, i] = max(out.get((d, i), (0, 0)), (similar, -s))
@@ -86,3 +87,27 @@ def test_passages_with_parts_moved_are_found(spark):
     want = brute(docs, [(1, " ".join(item))])
     assert [(d, s) for d, _, s, _ in want] == [(20, 40), (30, 40), (50, 40)]
     assert found(spark, docs, [(1, " ".join(item))]) == want
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Alpha beta"), (2, "one two three four"), (3, "solo"), (4, ""), (5, None), (6, "a b c d e f")]
+    docs = [(1, "x alpha BETA y alpha beta"), (2, "one two three"), (3, "zero one two three four"), (4, "solo"), (5, "nothing"), (6, None), (7, "a b c d e f")]
+    want = brute(docs, items)
+    assert [(d, i, s) for d, i, s, _ in want] == [(1, 1, 1), (3, 2, 1), (4, 3, 0), (7, 6, 0)]
+    assert found(spark, docs, items) == want
+
+
+def test_an_item_meets_only_windows_that_hold_its_shingles(spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"i{i}w{rng.randrange(40)}" for _ in range(20))) for i in range(30)]
+    docs = [(d, " ".join(["pre", "fix", *items[d % 30][1].split(), f"tail{d}"])) for d in range(60)]
+    want = brute(docs, items)
+    for bound in (200_000, 0):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", bound)
+        assert found(spark, docs, items) == want
+
+
+def test_columns_named_like_inner_ones_are_harmless(spark):
+    docs = spark.createDataFrame([(1, "x one two three four five six y", 1, 2), (2, "clean words only", 3, 4)], "doc_id bigint, text string, leaked int, row int")
+    got = S.decontaminated(docs, spark.createDataFrame([(1, "one two three four five six")], ITEMS))
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [2]

@@ -96,7 +96,7 @@ def test_positional_bytes_guarantee_a_minimum():
 def test_tallies_pass_over_no_similar_pair():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(150, 400)], rng.integers(0, 1 << 64, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(60)]
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(340, 400)], rng.integers(0, 1 << 64, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(60)]
     sets += [np.unique(np.concatenate([base, rng.integers(0, 1 << 64, 1600 + k, dtype=np.uint64)])) for k in range(5)]
     sizes, parts = np.array([len(x) for x in sets]), np.arange(len(sets))
     a, b = simhash.tallied_pairs([simhash.positional_bytes(x) for x in sets], sizes, parts, 0.8)

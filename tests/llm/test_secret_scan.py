@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 from strandwork.llm import secret_scan as S
 
@@ -41,10 +42,24 @@ def test_battery_finds_random_tokens_and_leaves_ordinary_ones(spark):
     assert [got[i].n_random for i in range(len(secrets), len(got))] == [0] * len(plain)
 
 
+def test_recall_by_encoding_among_ordinary_tokens(spark):
+    rng = random.Random(8)
+    words = [w for w in "the international standards committee of northern regions published another revised handbook on responsible construction practices concerning underground water pipelines near industrial settlements".split()]
+    plain = ["-".join(rng.choice(words) for _ in range(rng.randrange(3, 7))) for _ in range(150)]
+    plain += ["".join(rng.choice(words) for _ in range(6))[:60] for _ in range(100)] + [f"/{rng.choice(words)}/{rng.choice(words)}/{rng.choice(words)}_{rng.randrange(99)}" for _ in range(150)]
+    encodings = {"digits": string.digits, "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "letters": string.ascii_letters, "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    secrets = [(name, "".join(rng.choice(signs) for _ in range(40))) for name, signs in encodings.items() for _ in range(30)]
+    got = rows_of(spark, [f"see {t} there" for t in [s for _, s in secrets] + plain])
+    found = Counter(name for i, (name, _) in enumerate(secrets) if got[i].n_random or got[i].n_hex)
+    assert all(found[name] >= 28 for name in encodings), found
+    assert sum(got[len(secrets) + i].n_random for i, t in enumerate(plain) if len(t) >= 20) <= 20
+
+
 def test_redaction_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef1 b " + "0a" * 12, "x"), (2, None, "y"), (3, "clean", "z"), (4, "token=" + "0a" * 12, "w")], DOCS + ", lang string")
     got = {r.doc_id: (r.text, r.lang) for r in S.redact(docs).collect()}
     assert got == {1: ("a [SECRET] b [SECRET]", "x"), 2: (None, "y"), 3: ("clean", "z"), 4: ("[SECRET]", "w")}
+    assert S.redact(docs.withColumn("secret_spans", docs.doc_id)).columns == [*docs.columns, "secret_spans"]
     assert S.secret_report(docs.limit(0)).count() == 0
 
 

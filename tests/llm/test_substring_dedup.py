@@ -78,8 +78,17 @@ def test_long_texts_are_cut_as_in_one_block():
     ends = S.cuts(data.tobytes(), gear)
     at = [e for e in ends if (1 << 20) - 3000 < e]
     h = S.gear_hashes(data, gear)
-    assert ends[-1] == len(data) and all(h[e - 1] >> np.uint32(28) == 0 for e in at[:-1])
+    assert ends[-1] == len(data) and all(h[e - 1] >> np.uint32(32 - S.BITS) == 0 for e in at[:-1])
 
 
 def test_without():
     assert S.without(b"abcdefgh", [(1, 3), (5, 6)]) == b"adegh"
+
+
+def test_runs_of_at_least_so_many_bytes(spark):
+    rng = random.Random(6)
+    shared, own = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    docs = spark.createDataFrame([(1, shared, 0), (2, own[:200] + shared, 0)], DOCS).coalesce(1)
+    whole = {r.doc_id: r.n_removed for r in S.repeats(docs).collect()}
+    assert whole[1] == 0 and 200 < whole[2] <= 400
+    assert all(r.n_removed == 0 for r in S.repeats(docs, run=1000).collect())
