@@ -102,11 +102,8 @@ class ResidualChannel:
         fine = True
         for i, r in enumerate(self.records):
             r.rng = (seed + 32 * (i + 1)) ** 2 & G.WORD
-            bits = 11 if block else 7
             self.coder.normalise()
-            v = self.coder.value & (1 << bits) - 1
-            self.coder.range >>= bits
-            self.coder.value >>= bits
+            v = self.coder.bits(11 if block else 7)
             r.level, r.rate, low = 0x200, rate, v & 127
             if block:
                 r.level = LEVEL_STEPS[-(v >> 7) & 3] >> ((v >> 7) + 3 >> 2)
@@ -163,8 +160,7 @@ class Residuals:
         c.value, c.range = 0, 1
         self.mode, self.on = 2, True
         c.normalise()
-        v = c.value
-        c.range, c.value = c.range >> 3, c.value >> 3
+        v = c.bits(3)
         self.spread = CLASS_BOUND >> 1 if v & 4 else 0
         fine = [ch.begin_block(self.counter // BLOCK, RATE_STEPS[v & 3]) for ch in self.channels]
         if not all(fine):
@@ -202,7 +198,7 @@ class Output:
             return
         words = np.frombuffer(part_b.ljust(32, b"\0")[:32], "<i4").tolist()
         for tap, w in zip(self.taps, (words[:4], words[4:]), strict=True):
-            tap.pred, tap.corr = [w[1], w[0]], [w[3], w[2]]
+            tap.resume([w[1], w[0]], [w[3], w[2]])
 
     def _dither(self) -> list[tuple[int, int]]:
         if self.counter % G.DITHER_FRAMES == 0:
@@ -368,7 +364,7 @@ def decode_stream(left: np.ndarray, right: np.ndarray, k: int, rate_code: int, b
             elif kind == "sync":
                 residuals.configure((m["stream_id"] >> 12 & 63, m["stream_id"] >> 18 & 63), m["symbols"])
             elif kind == "lost":
-                refiner.step, refiner.pending = 0, False
+                refiner.lose()
             else:
                 return Decoded(out, n * GROUP, layer)
         a, b = refiner.group(a, b)

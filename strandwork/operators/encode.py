@@ -18,7 +18,7 @@ from ..functions import generators as G
 from . import control, kernels, messages
 from .conditioner import BitRing, Conditioner
 from .decode import BLOCK, CHANNEL_SALTS, CLASS_BOUND, DECAY, GROUP, HIGHEST_VARIANCE, LEVEL_STEPS, RATE_STEPS, REFINE_SALT, SCALES, VARIANT_LEVEL
-from .kernels import Gain, Predictor, Symbols, high, i32
+from .kernels import Gain, Predictor, Symbols, i32
 from .refine import Refiner, Ring
 from .samples import level_gain
 
@@ -175,53 +175,64 @@ class ChosenSymbols(Symbols):
         return self.decode(len(targets), True)
 
     def _candidate(self, k: int, dither: int, draw: int) -> tuple | None:
-        """(a, b, weight, lo, hi, low residual, high residual) of one lattice index, if it can be coded."""
-        a = i32(self.level * (dither + 256 * k))
-        b = i32(a + self.level * 256)
-        if not (-REACH <= a <= REACH and -REACH <= b <= REACH):
+        """(begin, lo, hi, low residual, high residual) of one lattice index, if it can be coded."""
+        begin = i32(self.level * (dither + 256 * k))
+        end = i32(begin + self.level * 256)
+        if not (-REACH <= begin <= REACH and -REACH <= end <= REACH):
             return None
-        first, second = kernels.bin_of(a), kernels.bin_of(b)
-        lo, hi = kernels.bin_position(first, a) >> 13, kernels.bin_position(second, b) >> 13
+        lo, hi = kernels.interval(begin, end)
         if hi <= lo or self.coder.range < hi:
             return None
-        sa, sb = i32(a * self.variance >> 16), i32(b * self.variance >> 16)
-        top = high(i32(2 * i32(sb - draw) + 1) * self.gain.gain) >> self.gain.shift
-        low = high(i32(2 * i32(sa - draw) - 1) * self.gain.gain) >> self.gain.shift
-        return (a, b, first[4] + second[4], lo, hi, low, top) if top > low else None
+        low, top = self._bounds(begin, draw)[2:]
+        return (begin, lo, hi, low, top) if top > low else None
 
-    def _magnitude(self, dither: int, draw: int, at: int) -> tuple[int, int, int]:
+    def _magnitude(self, dither: int, draw: int) -> tuple[int, int]:
         target = self.targets[self.done]
         self.done += 1
-        back = self._gridded(i32(-sum(self._predicted(at))))
+        back = self._gridded(i32(-sum(self._forecast())))
         away, scale = target - draw - back, self.gain.scale
         self.want = (abs(away) + scale // 2) // scale * (1 if away >= 0 else -1) if scale else 0
         reach = 600_000 // max(256 * self.level, 256) + 2
-        lo, hi = -reach, reach
+        tried: dict[int, tuple | None] = {}
+
+        def candidate(k: int) -> tuple | None:
+            if k not in tried:
+                tried[k] = self._candidate(k, dither, draw)
+            return tried[k]
+
+        def above(k: int) -> bool:
+            c = candidate(k)
+            return c[3] + c[4] >= 2 * self.want if c else k >= 0
+
+        # The first index above what is wanted, searched outwards from where the scale puts it.
+        middle = ((self.want * scale + draw) << 16) // max(self.variance, 1) // max(self.level, 1)
+        lo, hi, step = -reach, reach, 1
+        k = min(max((middle - 128 - dither) // 256 + 1, lo), hi)
         while lo < hi:
-            k = (lo + hi) // 2
-            c = self._candidate(k, dither, draw)
-            if (c[5] + c[6] >= 2 * self.want) if c else k >= 0:
+            if above(k):
                 hi = k
+                k = max(hi - step, lo) if step else (lo + hi) // 2
             else:
                 lo = k + 1
+                k = min(k + step, hi - 1) if step else (lo + hi) // 2
+            step = step * 2 if step and step < 8 else 0
 
         def cost(c: tuple) -> tuple[int, int]:
-            outside = max(c[5] + 1 - self.want, self.want - c[6], 0)
-            return outside, abs(2 * self.want - c[5] - c[6])
+            outside = max(c[3] + 1 - self.want, self.want - c[4], 0)
+            return outside, abs(2 * self.want - c[3] - c[4])
 
-        near = [c for k in (lo - 1, lo, lo + 1, 0) if (c := self._candidate(k, dither, draw))]
+        near = [c for k in (lo - 1, lo, lo + 1, 0) if (c := candidate(k))]
         if not near:
             raise CannotCode("no magnitude can be coded")
-        best = min(near, key=cost)
-        self.coder.narrow(best[3], best[4])
-        self.low, self.top = best[5], best[6]
-        return best[0], best[1], best[2]
-
-    def _residual(self, sa: int, sb: int, draw: int) -> int:
-        r = max(self.low + 1, min(self.top, self.want))
-        if self.top - self.low > 1:
+        begin, *codes = min(near, key=cost)[:3]
+        self.coder.narrow(*codes)
+        return begin, kernels.bin_of(begin)[4] + kernels.bin_of(i32(begin + 256 * self.level))[4]
+
+    def _inside(self, low: int, top: int) -> int:
+        r = max(low + 1, min(top, self.want))
+        if top - low > 1:
             self.coder.normalise()
-            self.coder.divide(self.top - self.low, self.top - r)
+            self.coder.divide(top - low, top - r)
         return r
 
 

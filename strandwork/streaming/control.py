@@ -73,14 +73,14 @@ def streaming_packets(frames: DataFrame) -> DataFrame:
 
 
 def streaming_requantise(frames: DataFrame, ratio: int) -> DataFrame:
-    """Requantised frames of a streaming DataFrame (file_id, out_frame, l, r); the shaper's ring is the state."""
+    """Requantised frames of a streaming DataFrame (file_id, out_frame, l, r); what the shaper feeds back is the state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shaper = _restored(Shaper(ratio), state)
         frame = pd.concat(list(batches)).sort_values("out_frame")
-        pairs = [shaper.step(p) for p in zip(frame["l"].tolist(), frame["r"].tolist(), strict=True)]
+        left, right = shaper.run(frame["l"].tolist(), frame["r"].tolist())
         state.update((pickle.dumps(vars(shaper)),))
-        yield frame.assign(l=[p[0] for p in pairs], r=[p[1] for p in pairs])[["file_id", "out_frame", "l", "r"]]
+        yield frame.assign(l=left, r=right)[["file_id", "out_frame", "l", "r"]]
 
     return frames.groupBy("file_id").applyInPandasWithState(step, "file_id bigint, out_frame bigint, l bigint, r bigint", "state binary", "append", GroupStateTimeout.NoTimeout)
 
