@@ -454,7 +454,7 @@ def _forests(similarity: float):
 
 def _long_links(long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) similar members that join what similar pairs of each list (key, node, part) join, parts being joined."""
-    rows = _blocks(long).join(sets, "node")
+    rows = staged(_blocks(long), "blocks").join(sets, "node")
     return _in_blocks(rows, ("t",), _forests(similarity), "a bigint, b bigint").distinct()
 
 
@@ -493,16 +493,30 @@ def _reaching(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").where(enough("bytes_a", "bytes_b", "n_a", "n_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets share enough shingles."""
+def _hub_links(similarity: float):
+    """Links of hubs (a, node, set as bytes), each with its own set and those of its partners, sorted by hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hubs, nodes, sets in _runs(batches):
+            bounds = _starts(hubs).tolist()
+            for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+                own, near = {n: np.frombuffer(t, np.uint64) for n, t in zip(nodes[at:end].tolist(), sets[at:end], strict=True)}, []
+                hub = own.pop(int(hubs[at]))
+                for node, x in own.items():
+                    shared = np.intp(len(np.intersect1d(hub, x, assume_unique=True)))
+                    if _similar(shared, len(hub), len(x), similarity):
+                        near.append(node)
+                if near:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), hubs[at])), pa.array(near, pa.int64())], ["a", "b"])
+
+    return run
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
-        return pd.Series([bool(_similar(np.intp(len(np.intersect1d(x, y, assume_unique=True))), len(x), len(y), similarity)) for x, y in both], dtype=bool)
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb")).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets share enough shingles; the set of an `a` travels once for all its partners."""
+    sent = staged(pairs.select("a", F.col("b").alias("node")).union(pairs.select("a", "a").distinct()), "sent")
+    met = sent.join(sets, "node").select("a", "node", "t")
+    return met.repartition("a").sortWithinPartitions("a").mapInArrow(_hub_links(similarity), "a bigint, b bigint")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
@@ -512,7 +526,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, repe
     def shingle_bytes(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(_hashes(t, words)).tobytes() for t in texts])
 
-    asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("of"), F.col("place.mark").alias("marked"))
+    # Staged, here as elsewhere, so that a small table is known to be small and the large one need not be shuffled.
+    asked = staged(nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("of"), F.col("place.mark").alias("marked")), "asked")
     rows = docs.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
     found = rows.select("node", shingle_bytes("t").alias("t"))
     return staged(found.dropDuplicates(["node"]) if repeated else found, "shingles")
@@ -536,7 +551,7 @@ def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets: DataFrame
 
     links = links.union(staged(_long_links(held(long.groupBy("node").agg(F.min("key").alias("key"))), sets, similarity), "links"))
     rest = staged(held(long), "mixed")
-    printed = _blocks(rest).join(nodes.select("node", "n", "bytes"), "node")
+    printed = staged(_blocks(rest), "blocks").join(nodes.select("node", "n", "bytes"), "node")
     found = staged(_in_blocks(printed, ("n", "bytes"), _tallies(similarity), "key bigint, a bigint, b bigint").distinct(), "tallied")
     links = links.union(staged(_verified(found.where("a is not null").select("a", "b"), sets, similarity), "links"))
     many = found.where("a is null").select("key")
@@ -570,13 +585,16 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
 
     place = F.struct(F.col("id").isNull().alias("last"), "id", "mark").alias("place")
     own = staged(own_text.select(place, prints("t").alias("p")).select("place", "p.*"), "fingerprints")
-    nodes = own.groupBy("node").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("prefix").alias("prefix"))
-    nodes = staged(nodes, "groups")
-    met = staged(_met(nodes), "lists")
-    pairs = staged(_reaching(met.where("b is not null").select("a", "b").distinct(), nodes, similarity), "pairs")
+    repeated = own.select("place").distinct().count() < own.count()
+    first = staged(own.groupBy(F.col("node").alias("key")).agg(F.min("place").alias("at")), "first")
+    nodes = own.join(first, (F.col("node") == F.col("key")) & F.col("place").eqNullSafe(F.col("at")), "left_semi")
+    nodes = nodes.dropDuplicates(["node"]) if repeated else nodes
+    met = staged(_met(nodes.select("node", "prefix")), "lists")
+    nodes = staged(nodes.drop("prefix"), "groups")
+    pairs = staged(met.where("b is not null").select("a", "b").distinct(), "met")
+    pairs = staged(_reaching(pairs, nodes, similarity), "pairs")
     long = met.where("b is null").select("key", F.col("a").alias("node"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
-    repeated = own.select("place").distinct().count() < own.count()
     final = _grouped(nodes, _joined(nodes, pairs, long, _sets(own_text, nodes, wanted, words, repeated), similarity))
     best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select("place.id", "place.mark"), "survivors")
     of, marked = unused(docs, "of", "marked")
