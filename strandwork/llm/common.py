@@ -47,6 +47,16 @@ def _clean() -> None:
                 shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stage tables that are read no more, and let the driver find the shuffles that nothing refers to any longer.
+
+    Shuffle files are deleted when the driver's collector meets what stood for them; with little garbage that is late.
+    """
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        drop_path(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lost executors recompute nothing before it."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged, unused
+from .common import connected_components, released, staged, unused
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SHINGLE, SEED, RADIUS, SHARED = 4, 42, 4, 4
@@ -256,6 +256,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 #: Members of a list up to which its pairs are taken at once; members of a block of a longer list; pairs that a block may
 #: give for each member before it is compared by sets.
 FEW, MEMBERS, EACH = 16, 4096, 16
+#: Rounds in which each document is compared with one partner only, before all pairs of documents still apart are.
+ROUNDS = 2
 #: About so many rows are read for the common shingles; those in over so many of them count as common, so many at most.
 SAMPLE, OFTEN, COMMON = 5000, 4, 50_000
 #: Positional bytes of a set: as many as a power of two up to its shingles, and so many at least.
@@ -459,7 +461,7 @@ def _long_links(long: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def _tallies(similarity: float):
-    """Pairs of whole blocks (key, x, y, side, node, part, n, bytes), or the key alone where there are too many of them."""
+    """Pairs of whole blocks (key, x, y, side, node, part, n, bytes) with the size of the block, or the key alone where there are too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, x, y, side, nodes, parts, sizes, prints in _runs(batches, 3):
@@ -468,10 +470,11 @@ def _tallies(similarity: float):
                 own = slice(at, end)
                 i, j = tallied_pairs([np.frombuffer(t, np.uint8) for t in prints[own]], sizes[own], parts[own], similarity, _sides(x[own], y[own], side[own]))
                 if len(i) > EACH * (end - at):
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[at]]), *[pa.array([None], pa.int64())] * 2], ["key", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[at]]), pa.array([end - at]), *[pa.array([None], pa.int64())] * 2], ["key", "size", "a", "b"])
                 elif len(i):
                     a, b = nodes[own][i], nodes[own][j]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
+                    columns = [np.full(len(i), keys[at]), np.full(len(i), end - at), np.minimum(a, b), np.maximum(a, b)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "size", "a", "b"])
 
     return run
 
@@ -530,17 +533,48 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, repe
     asked = staged(nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("of"), F.col("place.mark").alias("marked")), "asked")
     rows = docs.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
     found = rows.select("node", shingle_bytes("t").alias("t"))
-    return staged(found.dropDuplicates(["node"]) if repeated else found, "shingles")
+    found = staged(found.dropDuplicates(["node"]) if repeated else found, "shingles")
+    released(docs.sparkSession, asked)
+    return found
+
+
+def _apart(nodes: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, part_a, part_b): the pairs whose ends the links leave in different parts."""
+    parts = staged(_grouped(nodes.select("node"), links), "parts")
+    for c in "ab":
+        pairs = pairs.join(parts.select(F.col("node").alias(c), F.col("label").alias(f"part_{c}")), c)
+    return staged(pairs.where("part_a <> part_b"), "apart")
+
+
+def _pair_links(nodes: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join what similar ones of the pairs join.
+
+    Groups of copies have very many pairs, so in the first rounds each node takes the partner of the least part only; pairs
+    within a part, and those that have failed, need no sets. Then all pairs left are verified.
+    """
+    links = pairs.limit(0)
+    for turn in range(ROUNDS + 1):
+        apart = _apart(nodes, pairs, links) if turn else pairs.withColumns({"part_a": F.col("a"), "part_b": F.col("b")})
+        taken = apart.select("a", "b")
+        if turn < ROUNDS:
+            ends = apart.select("a", "part_b", "b").union(apart.select("b", "part_a", "a"))
+            one = ends.groupBy("a").agg(F.min(F.struct("part_b", "b"))["b"].alias("b"))
+            taken = staged(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "taken")
+            pairs = apart.select("a", "b").join(taken, ["a", "b"], "left_anti")
+        links = links.union(staged(_verified(taken, sets, similarity), "links"))
+    return links
 
 
 def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between nodes that join all similar pairs that met: pairs (a, b), and any two of a list of long (key, node).
 
     First the pairs are verified. Then each node of a long list is compared in one of its lists, which joins most of
-    what belongs together. Last all lists that still hold several parts tally the pairs of different parts; those that
-    reach the guaranteed minimum are verified. A block with very many such pairs is compared by sets instead.
+    what belongs together. Last all lists that still hold several parts tally the pairs of different parts. A pair that
+    reaches the guaranteed minimum is verified in the largest list that it met in, so that few lists are compared by sets,
+    and of these only the members of such pairs; a block with very many pairs is compared whole.
     """
-    links = staged(_verified(pairs, sets, similarity), "links")
+    links = _pair_links(nodes, pairs, sets, similarity)
+    released(sets.sparkSession)
     if long.isEmpty():
         return links
 
@@ -550,12 +584,16 @@ def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets: DataFrame
         return rows.join(mixed, "key", "left_semi")
 
     links = links.union(staged(_long_links(held(long.groupBy("node").agg(F.min("key").alias("key"))), sets, similarity), "links"))
+    released(sets.sparkSession)
     rest = staged(held(long), "mixed")
     printed = staged(_blocks(rest), "blocks").join(nodes.select("node", "n", "bytes"), "node")
-    found = staged(_in_blocks(printed, ("n", "bytes"), _tallies(similarity), "key bigint, a bigint, b bigint").distinct(), "tallied")
-    links = links.union(staged(_verified(found.where("a is not null").select("a", "b"), sets, similarity), "links"))
-    many = found.where("a is null").select("key")
-    return links if many.isEmpty() else links.union(staged(_long_links(rest.join(many, "key", "left_semi"), sets, similarity), "links"))
+    found = staged(_in_blocks(printed, ("n", "bytes"), _tallies(similarity), "key bigint, size bigint, a bigint, b bigint"), "tallied")
+    best = found.where("a is not null").groupBy("a", "b").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
+    some = best.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(rest.select(F.col("key").alias("of"), F.col("node").alias("who"), "part"), (F.col("key") == F.col("of")) & (F.col("node") == F.col("who"))).select("key", "node", "part")
+    whole = rest.join(found.where("a is null").select("key").distinct(), "key", "left_semi")
+    last = staged(some.union(whole).distinct(), "last")
+    released(sets.sparkSession, found)
+    return links.union(staged(_long_links(last, sets, similarity), "links"))
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -593,6 +631,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     nodes = staged(nodes.drop("prefix"), "groups")
     pairs = staged(met.where("b is not null").select("a", "b").distinct(), "met")
     pairs = staged(_reaching(pairs, nodes, similarity), "pairs")
+    released(docs.sparkSession, own)
     long = met.where("b is null").select("key", F.col("a").alias("node"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     final = _grouped(nodes, _joined(nodes, pairs, long, _sets(own_text, nodes, wanted, words, repeated), similarity))
