@@ -392,19 +392,26 @@ def forest_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float, s
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def tallied_pairs(prints: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray, similarity: float, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of different parts whose positional bytes agree as often as similar sets guarantee."""
+def tallied_pairs(
+    prints: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray, similarity: float, sides: np.ndarray | None = None, most: float = math.inf
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different parts whose positional bytes agree as often as similar sets guarantee.
+
+    Beyond `most` pairs no more are looked for: a caller that gets over `most` has to compare the sets whole.
+    """
     order = np.argsort(sizes, kind="stable")
     size, part = sizes[order], parts[order]
     side = np.arange(len(order)) if sides is None else sides[order]
     widths = np.array([len(prints[i]) for i in order])
-    left, right = [], []
+    left, right, found = [], [], 0
     for width in np.unique(widths):
         own = np.nonzero(widths == width)[0]
         # Similar sets are within a factor of two, so partners have as many bytes or twice as many.
         others = np.nonzero((widths == width) | (widths == 2 * width))[0]
         table = np.stack([_folded(prints[order[j]], width) for j in others])
         for i in own:
+            if found > most:
+                break
             low = int(np.searchsorted(others, i + 1))
             high = int(np.searchsorted(size[others], size[i] / similarity + 1e-6, "right"))
             js = others[low:high]
@@ -414,6 +421,7 @@ def tallied_pairs(prints: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray
                 js = js[tally >= _guaranteed(width, size[i], size[js], similarity)]
                 left.append(np.full(len(js), order[i]))
                 right.append(order[js])
+                found += len(js)
     none = np.empty(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -468,7 +476,7 @@ def _tallies(similarity: float):
             bounds = _starts(keys, x, y).tolist()
             for at, end in zip(bounds[:-1], bounds[1:], strict=True):
                 own = slice(at, end)
-                i, j = tallied_pairs([np.frombuffer(t, np.uint8) for t in prints[own]], sizes[own], parts[own], similarity, _sides(x[own], y[own], side[own]))
+                i, j = tallied_pairs([np.frombuffer(t, np.uint8) for t in prints[own]], sizes[own], parts[own], similarity, _sides(x[own], y[own], side[own]), EACH * (end - at))
                 if len(i) > EACH * (end - at):
                     yield pa.RecordBatch.from_arrays([pa.array([keys[at]]), pa.array([end - at]), *[pa.array([None], pa.int64())] * 2], ["key", "size", "a", "b"])
                 elif len(i):
@@ -488,11 +496,14 @@ def _reaching(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
         for p, q, k, j in zip(x, y, n, m, strict=True):
             p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
             width = min(len(p), len(q))
-            fits = min(k, j) >= similarity * max(k, j) - 1e-6
-            out.append(bool(fits and (_folded(p, width) == _folded(q, width)).sum() >= _guaranteed(width, k, j, similarity)))
+            out.append(bool((_folded(p, width) == _folded(q, width)).sum() >= _guaranteed(width, k, j, similarity)))
         return pd.Series(out, dtype=bool)
 
-    left, right = (nodes.select(F.col("node").alias(c), F.col("bytes").alias(f"bytes_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    # Sizes first: most pairs that meet by chance are of unlike sizes, and bytes are not sent for those.
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")), c)
+    pairs = staged(pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6), "sized")
+    left, right = (nodes.select(F.col("node").alias(c), F.col("bytes").alias(f"bytes_{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").where(enough("bytes_a", "bytes_b", "n_a", "n_b")).select("a", "b")
 
 
@@ -565,35 +576,46 @@ def _pair_links(nodes: DataFrame, pairs: DataFrame, sets: DataFrame, similarity:
     return links
 
 
-def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _candidates(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, part): the members of lists (key, node, part) that tallies leave to be compared by sets.
+
+    A pair that reaches the guaranteed minimum is left in the largest list that it met in, so that few lists are compared,
+    and of these only the members of such pairs; a list with a block of very many pairs is compared whole.
+    """
+    printed = staged(_blocks(lists), "blocks").join(nodes.select("node", "n", "bytes"), "node")
+    found = staged(_in_blocks(printed, ("n", "bytes"), _tallies(similarity), "key bigint, size bigint, a bigint, b bigint"), "tallied")
+    best = found.where("a is not null").groupBy("a", "b").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
+    ends = staged(best.select("key", F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    whole = lists.join(found.where("a is null").select("key").distinct(), "key", "left_semi")
+    left = staged(lists.join(ends, ["key", "node"], "left_semi").union(whole).distinct(), "left")
+    released(nodes.sparkSession, found, ends)
+    return left
+
+
+def _joined(nodes: DataFrame, pairs: DataFrame, long: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Links (a, b) between nodes that join all similar pairs that met: pairs (a, b), and any two of a list of long (key, node).
 
-    First the pairs are verified. Then each node of a long list is compared in one of its lists, which joins most of
-    what belongs together. Last all lists that still hold several parts tally the pairs of different parts. A pair that
-    reaches the guaranteed minimum is verified in the largest list that it met in, so that few lists are compared by sets,
-    and of these only the members of such pairs; a block with very many pairs is compared whole.
+    sets_of(wanted) gives the sets (node, t) of nodes (node). First each node of a long list is tallied in one of its
+    lists, and what that leaves is compared by sets, as the pairs are; this joins most of what belongs together. Then all
+    lists that still hold several parts tally the pairs of different parts, and what that leaves is compared.
     """
-    links = _pair_links(nodes, pairs, sets, similarity)
-    released(sets.sparkSession)
+    spark, ends = nodes.sparkSession, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     if long.isEmpty():
-        return links
+        return _pair_links(nodes, pairs, sets_of(ends.distinct()), similarity)
 
     def held(lists: DataFrame) -> DataFrame:
         rows = staged(lists.join(_grouped(nodes.select("node"), links).withColumnRenamed("label", "part"), "node").select("key", "node", "part"), "long")
         mixed = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
         return rows.join(mixed, "key", "left_semi")
 
-    links = links.union(staged(_long_links(held(long.groupBy("node").agg(F.min("key").alias("key"))), sets, similarity), "links"))
-    released(sets.sparkSession)
-    rest = staged(held(long), "mixed")
-    printed = staged(_blocks(rest), "blocks").join(nodes.select("node", "n", "bytes"), "node")
-    found = staged(_in_blocks(printed, ("n", "bytes"), _tallies(similarity), "key bigint, size bigint, a bigint, b bigint"), "tallied")
-    best = found.where("a is not null").groupBy("a", "b").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
-    some = best.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(rest.select(F.col("key").alias("of"), F.col("node").alias("who"), "part"), (F.col("key") == F.col("of")) & (F.col("node") == F.col("who"))).select("key", "node", "part")
-    whole = rest.join(found.where("a is null").select("key").distinct(), "key", "left_semi")
-    last = staged(some.union(whole).distinct(), "last")
-    released(sets.sparkSession, found)
-    return links.union(staged(_long_links(last, sets, similarity), "links"))
+    one = staged(long.groupBy("node").agg(F.min("key").alias("key")).select("key", "node", F.col("node").alias("part")), "one")
+    near = _candidates(one, nodes, similarity)
+    sets = sets_of(ends.union(near.select("node")).distinct())
+    links = _pair_links(nodes, pairs, sets, similarity)
+    links = links.union(staged(_long_links(held(near.select("key", "node")), sets, similarity), "links"))
+    released(spark, one, near, sets)
+    left = _candidates(staged(held(long), "mixed"), nodes, similarity)
+    return links.union(staged(_long_links(left, sets_of(left.select("node").distinct()), similarity), "links"))
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -633,8 +655,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     pairs = staged(_reaching(pairs, nodes, similarity), "pairs")
     released(docs.sparkSession, own)
     long = met.where("b is null").select("key", F.col("a").alias("node"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
-    final = _grouped(nodes, _joined(nodes, pairs, long, _sets(own_text, nodes, wanted, words, repeated), similarity))
+    final = _grouped(nodes, _joined(nodes, pairs, long, lambda wanted: _sets(own_text, nodes, wanted, words, repeated), similarity))
     best = staged(final.groupBy("label").agg(F.min("place").alias("place")).select("place.id", "place.mark"), "survivors")
     of, marked = unused(docs, "of", "marked")
     kept = docs.join(best.toDF(of, marked), docs[doc_id].eqNullSafe(F.col(of)) & (mark == F.col(marked)), "left_semi")

@@ -112,3 +112,19 @@ def test_blocks_of_long_lists_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEMBERS", 7)
     monkeypatch.setattr(simhash, "EACH", 1)
     assert kept(spark, rows) == survivors(rows)
+
+
+def test_tallies_stop_beyond_the_most(spark):
+    sets = [np.arange(100, dtype=np.uint64) << np.uint64(50)] * 40
+    prints, sizes, parts = [simhash.positional_bytes(x) for x in sets], np.full(40, 100), np.arange(40)
+    assert len(simhash.tallied_pairs(prints, sizes, parts, 0.8)[0]) == 780
+    assert 50 < len(simhash.tallied_pairs(prints, sizes, parts, 0.8, most=50)[0]) < 780
+
+
+def test_long_lists_of_several_groups_lose_no_link(spark):
+    rng = random.Random(11)
+    shared, rows = [f"s{i}" for i in range(60)], []
+    for g in range(6):
+        base = shared + [f"g{g}w{i}" for i in range(140)]
+        rows += [(len(rows) + n, " ".join(w)) for n, w in enumerate(blocks_replaced(rng, base, 14, 12))]
+    assert kept(spark, rows) == survivors(rows)
