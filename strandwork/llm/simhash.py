@@ -262,6 +262,8 @@ ROUNDS = 2
 SAMPLE, OFTEN, COMMON = 5000, 4, 50_000
 #: Positional bytes of a set: as many as a power of two up to its shingles, and so many at least.
 LEAST_BYTES = 128
+#: Bits of the map by which rows are sifted before their texts are sent: at most BITS / 64 rows are broadcast.
+BITS = 1 << 24
 
 
 def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -533,6 +535,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.repartition("a").sortWithinPartitions("a").mapInArrow(_hub_links(similarity), "a bigint, b bigint")
 
 
+def _sifted(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of docs (mark, ...) whose mark may be one of asked (marked): every one that is, and few others.
+
+    Marks are looked up in a map of BITS bits, at most BITS / 64 rows however many are asked, so it may be broadcast. Where
+    it fills up more rows pass, in the end all.
+    """
+
+    def word(mark: Column) -> Column:
+        return F.call_function("shiftright", F.pmod(mark, F.lit(BITS)), F.lit(6))
+
+    def bit(mark: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(mark, F.lit(64)).cast("int"))
+
+    marked = F.col("marked")
+    bits = asked.groupBy(word(marked).alias("word")).agg(F.bit_or(bit(marked)).alias("bits"))
+    met = docs.withColumn("word", word(F.col("mark"))).join(F.broadcast(bits), "word")
+    return met.where(F.col("bits").bitwiseAND(bit(F.col("mark"))) != 0).drop("word", "bits")
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
     """(node, t): sorted shingles, as bytes, of the nodes (node, place) that are wanted; docs: (id, mark, t), with repeated rows or without."""
 
@@ -542,7 +563,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, repe
 
     # Staged, here as elsewhere, so that a small table is known to be small and the large one need not be shuffled.
     asked = staged(nodes.join(wanted, "node", "left_semi").select("node", F.col("place.id").alias("of"), F.col("place.mark").alias("marked")), "asked")
-    rows = docs.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
+    rows = _sifted(docs, asked).join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
     found = rows.select("node", shingle_bytes("t").alias("t"))
     found = staged(found.dropDuplicates(["node"]) if repeated else found, "shingles")
     released(docs.sparkSession, asked)

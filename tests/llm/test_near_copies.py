@@ -128,3 +128,15 @@ def test_long_lists_of_several_groups_lose_no_link(spark):
         base = shared + [f"g{g}w{i}" for i in range(140)]
         rows += [(len(rows) + n, " ".join(w)) for n, w in enumerate(blocks_replaced(rng, base, 14, 12))]
     assert kept(spark, rows) == survivors(rows)
+
+
+def test_sifting_loses_no_row_and_passes_few_others(spark, monkeypatch):
+    marks = spark.range(20000).selectExpr("id", "xxhash64(id) AS mark", "string(id) AS t")
+    marks = marks.union(spark.sql("SELECT id, id - 70 AS mark, string(id) FROM range(140)"))  # marks below zero, every bit of a word
+    asked = marks.where("id % 40 = 0").selectExpr("id AS of", "mark AS marked")
+    wanted = {(r["of"], r["marked"]) for r in asked.collect()}
+    found = [(r["id"], r["mark"]) for r in simhash._sifted(marks, asked).select("id", "mark").collect()]
+    assert wanted <= set(found) and len(found) == len(set(found)) < 2 * len(wanted)
+    monkeypatch.setattr(simhash, "BITS", 64)  # a map that is full lets all rows pass
+    assert simhash._sifted(marks, asked).count() == marks.count()
+    assert simhash._sifted(marks, asked.limit(0)).count() == 0
