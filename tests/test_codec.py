@@ -169,6 +169,51 @@ def test_wrapping_keeps_the_upper_bits_and_opens_a_stream(spark):
     assert [p["type"] for p in control.parse_packets(((left ^ right) >> 8 & 1).astype(np.uint8))][:3] == [5, 1, 3]
 
 
+def written(total, config):
+    """The container written from its first bit to its last: bits, and pairs of bytes."""
+    writer, channel = encode.PacketWriter(), messages.MessageWriter()
+    writer.datasync(config)
+    channel.record(config.scale_index)
+    if encode.TERMINATE_BITS < total - len(writer.bits) < 1 << 17:
+        writer.terminate(total)
+    writer.fill(total)
+    channel.pad_to(2 * total)
+    return np.array(writer.bits[:total]), np.frombuffer(channel.wire(), np.uint8)[: 2 * total].reshape(-1, 2)
+
+
+def test_the_container_at_any_frames_is_the_one_written():
+    for config in (encode.Config(), encode.Config(scale_index=7, auth_level=9)):
+        container = encode.Container(config)
+        for total in (1, 20, 23, 24, 150, *range(185, 260), *range(4119 + 165, 4119 + 260, 7), 40000, (1 << 17) + 100, (1 << 17) + 180, 140000):
+            bits, pairs = written(total, config)
+            frame = np.random.default_rng(total).permutation(total)
+            assert (container.bits(frame, total) == bits[frame]).all() and (container.bytes(frame) == pairs[frame]).all()
+
+
+def test_wrapping_sends_no_table_of_frames_to_the_driver(spark):
+    """The lengths of files may be broadcast, the container of their frames may not, however short a list the files are."""
+    from pyspark.sql import functions as F
+
+    frames = spark.range(400_000).select((F.col("id") % 2).alias("file_id"), F.floor(F.col("id") / 2).alias("frame"), (F.col("id") * 37 % 65536).alias("l"), (F.col("id") * 91 % 65536).alias("r"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "6m")
+    try:
+        assert control.scan(encode.wrap(frames), None).where("found and sync_frame = 0").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_wrapping_keeps_files_apart_and_leaves_out_frames_that_are_none(spark):
+    rows = [(f, i, 1000 * i, -70 * i) for f, n in ((0, 10), (1, 700), (2, 5000)) for i in range(n)]
+    odd = [(0, 99, 5, 5), (0, None, 5, 5), (None, 0, 5, 5), (1, -1, 5, 5)]
+    out = encode.wrap(spark.createDataFrame(rows + odd, FRAMES)).orderBy("file_id", "frame").collect()
+    assert [(r.file_id, r.frame) for r in out] == [r[:2] for r in rows]
+    for f, n in ((0, 12), (1, 701), (2, 5000)):
+        bits, pairs = written(n, encode.Config())
+        own = [r for r in out if r.file_id == f]
+        assert [(r.l ^ r.r) >> 8 & 1 for r in own] == bits.tolist()[: len(own)]
+        assert [[r.l & 255, r.r & 255] for r in own] == pairs.tolist()[: len(own)]
+
+
 def test_conditioner_parts():
     ring = BitRing(8)
     for b in (1, 0, 1, 1):
