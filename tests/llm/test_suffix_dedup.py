@@ -121,3 +121,23 @@ def test_on_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.repeated_strings(docs).collect())
     assert got == brute(rows)
+
+
+def test_rows_that_are_split_otherwise_at_each_read(spark, tmp_path, monkeypatch):
+    """Files are split by how many cores there are, and executors come and go while a query runs."""
+    rows, path = corpus(), str(tmp_path / "documents")
+    spark.createDataFrame([(d, t, 1) for d, t in rows], DOCS).repartition(8).write.parquet(path)
+    key, stage = "spark.sql.leafNodeDefaultParallelism", S.staged
+
+    def staged(df, label):
+        out = stage(df, label)
+        spark.conf.set(key, 8)
+        return out
+
+    monkeypatch.setattr(S, "staged", staged)
+    spark.conf.set(key, 1)
+    try:
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.repeated_strings(spark.read.parquet(path)).collect())
+    finally:
+        spark.conf.unset(key)
+    assert got == brute(rows)
